@@ -1,3 +1,58 @@
 """DuckDB SQL for those queries that SQL can express over whole tables."""
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP7 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+runs AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c
+  FROM (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS s
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d))),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n
+  FROM runs, (SELECT unnest(range(0, 5)) AS k) WHERE c >= 2 GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(n, 0)::BIGINT AS n_repeat_words,
+         len(ls)::BIGINT AS n_lines,
+         (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper
+  FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words
+            OR 100 * n_symbols > 30 * n_words
+            OR 100 * n_dup_lines > 30 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 100 * n_upper > 50 * word_chars) AS kept
+FROM m
+"""
+
+
+def _shingles(table: str, key: str, lowered: str) -> str:
+    """Distinct five-word shingles of a table's texts; shorter texts are one shingle."""
+    return rf"""
+  SELECT DISTINCT {key}, s FROM (
+    SELECT {key}, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                              WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s
+    FROM (SELECT {key}, {_WORDS.format(lowered)} AS ws FROM {table}))"""
+
+
+OP2 = f"""
+WITH d AS ({_shingles("documents", "doc_id", "lower(coalesce(text, ''))")}),
+b AS ({_shingles("benchmark", "item_id", "lower(coalesce(text, ''))")}),
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+SELECT d.doc_id, b.item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+FROM d JOIN b USING (s) JOIN n USING (item_id)
+GROUP BY d.doc_id, b.item_id, n_item HAVING 100 * count(*) >= 75 * n_item
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_decontamination": OP2,
+    "op7_quality_rules": OP7,
+}

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import _crf, _fit, _text
 
 #: Labelled rows that a fit uses at most.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2500
 MIN_DOCS, MIN_SHARE = 4, 0.8
 AFFIXES = (("prefix", 4), ("prefix", 5), ("suffix", 4))
 #: A word from this probability on belongs to an offending span.
