@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import _fit, bpe, decontaminate, language, quality, rules, toxicity
+from . import _fit, bpe, decontaminate, language, quality, rules, suffix, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -55,7 +55,12 @@ def op9_language_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_decontamination, op5_bpe_round_trip, op7_quality_rules, op8_toxic_spans, op9_language_chain)
+    for f in (op1_quality_classifier, op2_decontamination, op5_bpe_round_trip, op7_quality_rules, op8_toxic_spans, op9_language_chain, op10_suffix_dedup)
 }
