@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,7 +175,7 @@ def _answer(bucket: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
     """Totals for each block's keys, and for block -1 the bucket's tokens and distinct words."""
     rows = []
     for pairs in (False, True):
-        part = sent.filter(pa.compute.equal(sent.column("pairs"), pairs))
+        part = sent.filter(pc.equal(sent.column("pairs"), pairs))
         if part.num_rows == 0:
             continue
         keys = [_unpack(x.as_buffer(), pairs) for x in part.column("data")]

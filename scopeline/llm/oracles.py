@@ -57,8 +57,8 @@ _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 OP4 = f"""
 WITH RECURSIVE s AS ({_shingles("documents", "doc_id", _LOW)}),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
-links AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both >= 75 * (a.n + b.n - both)),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
 reach AS (SELECT doc_id AS d, doc_id AS r FROM n UNION SELECT d, y FROM reach JOIN links ON x = r),
 least AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
@@ -66,14 +66,15 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON d = doc_id
 """
 
 OP10 = """
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
-b AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d),
-w AS (SELECT doc_id, h, i, i + 50 <= length(h) // 2 AS whole, substr(h, 2 * i + 1, 100) AS s FROM b),
-m AS (SELECT doc_id, h, i, whole AND min(CASE WHEN whole THEN doc_id END) OVER (PARTITION BY s) < doc_id AS hit FROM w),
-c AS (SELECT doc_id, h, i, max(hit::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
-e AS (SELECT doc_id, h, i, gone, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) AS prev FROM c),
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x, CASE WHEN 2 * i + 100 <= length(h) THEN md5_number(substr(h, 2 * i + 1, 100)) END AS s
+      FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM b WHERE s IS NOT NULL GROUP BY s),
+m AS (SELECT doc_id, i, x, coalesce(first < doc_id, FALSE)::INT AS hit FROM b LEFT JOIN f USING (s)),
+c AS (SELECT doc_id, i, x, (coalesce(max(CASE WHEN hit = 1 THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -50) > i - 50)::INT AS gone FROM m),
+e AS (SELECT doc_id, i, x, gone, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) AS prev FROM c),
 g AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, sum((gone = 1 AND prev = 0)::INT)::BIGINT AS n_spans,
-             coalesce(string_agg(CASE WHEN gone = 0 THEN substr(h, 2 * i + 1, 2) END, '' ORDER BY i), '') AS kept
+             string_agg(CASE WHEN gone = 0 THEN x END, '' ORDER BY i) AS kept
       FROM e GROUP BY doc_id)
 SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
        sha256(unhex(coalesce(kept, ''))) AS kept_sha256
