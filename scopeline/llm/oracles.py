@@ -52,6 +52,23 @@ FROM d JOIN b USING (s) JOIN n USING (item_id)
 GROUP BY d.doc_id, b.item_id, n_item HAVING 100 * count(*) >= 75 * n_item
 """
 
+#: A text as the template writes it: backslashes doubled, control strings broken after their first character.
+_ESCAPED = r"regexp_replace(regexp_replace({}, '\\', '\\\\', 'g'), '(<)(/?s>|<SYS>>|</SYS>>)|(\[)(/?INST\]|/?ROLE\]|SAYS\])', '\1\3\\\2\4', 'g')"
+
+OP3 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length({_ESCAPED.format("text")}) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 17
+             ELSE 23 + length({_ESCAPED.format("role")}) END AS chars FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4 = f"""
@@ -83,6 +100,7 @@ FROM d LEFT JOIN g USING (doc_id)
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": OP2,
+    "op3_chat_tree": OP3,
     "op4_jaccard_tree": OP4,
     "op7_quality_rules": OP7,
     "op10_suffix_dedup": OP10,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import _fit, bpe, decontaminate, jaccard, language, lm, quality, rules, suffix, toxicity
+from . import _fit, bpe, chat, decontaminate, jaccard, language, lm, quality, rules, suffix, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -33,6 +33,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    back = chat.read_back(chat.format_trees(turns.unionByName(more)))
+    whole = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op4_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
@@ -71,5 +87,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_decontamination, op4_jaccard_tree, op5_bpe_round_trip, op6_backoff_automaton, op7_quality_rules, op8_toxic_spans, op9_language_chain, op10_suffix_dedup)
+    for f in (op1_quality_classifier, op2_decontamination, op3_chat_tree, op4_jaccard_tree, op5_bpe_round_trip, op6_backoff_automaton, op7_quality_rules, op8_toxic_spans, op9_language_chain, op10_suffix_dedup)
 }

@@ -139,3 +139,20 @@ def tag(docs: DataFrame, model: _crf.Crf) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(total)), pa.array(many, pa.int64()), pa.array(found, span)], ["doc_id", "score", "n_toxic_words", "toxic_spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, score double, n_toxic_words long, toxic_spans array<struct<start:int,end:int,score:double>>")
+
+
+def below(docs: DataFrame, model: _crf.Crf, threshold: float) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is below ``threshold``.
+
+    The score goes along with the rows, so there is no join. Nulls and repeated
+    rows as in ``tag``.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = _text.flat(batch.column("text"))
+            score = np.concatenate([np.zeros(0), *(scores(sent.value, b, o)[0] for _, _, b, o in _text.chunks(buf, off))])
+            yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
