@@ -102,8 +102,8 @@ def passes(model: Crf, words: Chain, psi: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def marginals(model: Crf, words: Chain) -> np.ndarray:
     """Probability of each tag for each word by forward-backward."""
-    if len(words.row) == 0:
-        return np.zeros((0, len(model.tags)), np.float32)
+    if len(words.row) == 0 or not model.tags:
+        return np.zeros((len(words.row), len(model.tags)), np.float32)
     ahead, back = passes(model, words, potentials(model, words))
     both = ahead * back
     return both / both.sum(axis=1, keepdims=True)
