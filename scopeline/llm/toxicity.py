@@ -2,8 +2,9 @@
 
 Documents, not tokens, carry labels, so the labelled tokens come first: a word
 of a toxic document is a toxic token if the word, or its first four or five
-bytes, occurs in at least ``MIN_DOCS`` labelled documents of which at least
-``MIN_SHARE`` are toxic. The chain learns from these tokens through its word,
+bytes, occurs in labelled documents of which at least ``MIN_SHARE`` are toxic,
+and in so many that among all words less than one would be marked by chance (by
+Chernoff's bound, at the labels' own rate). The chain learns from these tokens through its word,
 prefix and suffix features and its transitions; forward-backward gives each
 word's probability of being toxic. A document's score is a logistic function of
 its most toxic word and of the expected count of toxic words.
@@ -22,7 +23,7 @@ from . import _crf, _fit, _text
 
 #: Labelled rows that a fit uses at most.
 TRAIN_ROWS = 2500
-MIN_DOCS, MIN_SHARE = 4, 0.8
+MIN_SHARE = 0.8
 AFFIXES = (("prefix", 4), ("prefix", 5), ("suffix", 4))
 #: A word from this probability on belongs to an offending span.
 SPAN_FROM = 0.5
@@ -48,7 +49,10 @@ def _token_tags(words: _crf.Chain, toxic: np.ndarray) -> np.ndarray:
         size = 1 << _crf.BITS
         of = np.bincount(bucket, weights=toxic[doc], minlength=size)
         n = np.bincount(bucket, minlength=size)
-        mark = (n >= MIN_DOCS) & (of >= MIN_SHARE * n)
+        rate = np.clip(toxic.mean(), 1e-6, 1 - 1e-6)
+        share = np.clip(of / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+        surprise = n * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
+        mark = (share >= MIN_SHARE) & (share > rate) & (surprise >= np.log(np.count_nonzero(n) + 1))
         tag |= mark[f]
     return tag * toxic[words.row]
 
