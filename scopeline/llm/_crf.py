@@ -68,9 +68,13 @@ def chain(buf: np.ndarray, off: np.ndarray, affixes: tuple[tuple[str, int], ...]
     shift = np.uint64(64 - BITS)
     feature = [_text.between(run, left, right) >> shift]
     for side, k in affixes:
-        a = left if side == "prefix" else np.maximum(left, right - k)
-        b = right if side == "suffix" else np.minimum(right, left + k)
-        feature.append(_text.mix(_text.between(run, a, b) + np.uint64(k * 2 + (side == "suffix"))) >> shift)
+        if side == "inner":  # the run of three bytes that starts k bytes into the word
+            a, b, salt = np.minimum(left + k, right), np.minimum(left + k + 3, right), 0
+        else:
+            a = left if side == "prefix" else np.maximum(left, right - k)
+            b = right if side == "suffix" else np.minimum(right, left + k)
+            salt = k * 2 + (side == "suffix")
+        feature.append(_text.mix(_text.between(run, a, b) + np.uint64(salt)) >> shift)
     return Chain(row, left, right, [f.astype(np.int64) for f in feature], first, length)
 
 

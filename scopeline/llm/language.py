@@ -1,7 +1,7 @@
 """Language of each word in code-switched text by a linear-chain conditional random field.
 
-A word's features are its form (the lexicon), prefixes and suffixes, and its
-runs of three bytes; learned transitions say how readily neighbours change
+A word's features are its form (the lexicon), prefixes and suffixes, and the
+runs of three bytes after its first, second and third; learned transitions say how readily neighbours change
 language. Training text is whole documents of one language, cut into sentences,
 and sequences that splice sentences of two languages, so that transitions are
 learned from switches too. Forward-backward gives each word's language
@@ -21,7 +21,7 @@ from . import _crf, _fit, _text
 
 #: Documents of each language that a fit uses at most.
 TRAIN_ROWS = 200
-AFFIXES = (("prefix", 2), ("prefix", 3), ("suffix", 2), ("suffix", 3), ("suffix", 4))
+AFFIXES = (("prefix", 2), ("prefix", 3), ("suffix", 2), ("suffix", 3), ("suffix", 4), ("inner", 1), ("inner", 2), ("inner", 3))
 NONE = "und"
 _ASCII_LETTER = np.zeros(256, dtype=bool)
 _ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
