@@ -43,7 +43,8 @@ class Tree:
 
 def words_for(sets: list[np.ndarray]) -> int:
     """64-bit words of a bitmap that has about two bits for each token of the largest set."""
-    return max(1, min(512, 1 << int(np.ceil(np.log2(max([1, *map(len, sets)]) * 2 / 64 + 1e-9)))))
+    need = -(-2 * max([1, *map(len, sets)]) // 64)
+    return min(512, 1 << (need - 1).bit_length())
 
 
 def _children(tree: Tree, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
