@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade, ordered by rejection per cost.
 
 Each rule is a Boolean column that is true where a document is rejected. On a
-bounded sample the share that each rule rejects and the time that it takes are
-measured; the rules then run in descending order of rejection per second inside
-one CASE expression, so a document that an early, cheap rule rejects never meets
-a later one. The verdict does not depend on the order.
+bounded sample the share that each rule rejects and the time that it takes, its
+own counts included, are measured; the rules then run in descending order of
+rejection per second inside one CASE expression. With ``judge(counts=False)``
+the counts are worked out inside the CASE, so a document that an early, cheap
+rule rejects never pays for a later one. The verdict does not depend on the
+order.
 
 All of it is built-in functions inside the JVM.
 """
@@ -12,6 +14,7 @@ All of it is built-in functions inside the JVM.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -73,86 +76,98 @@ def _covered(runs: Column, width: int) -> Column:
     return F.element_at(one, 1)
 
 
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and the counts that the rules are made of.
+def staged(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` with the text (null as empty), its words, and its lines that have a word."""
+    out = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    out = out.select(*keep, "_text", _native.spaced(F.col("_text")).alias("_spaced"))
+    return out.select(*keep, "_text", "_spaced", _native.words(F.col("_spaced")).alias("_words"))
+
+
+def metrics() -> dict[str, Column]:
+    """Counts over ``staged`` columns.
 
     n_words, word_chars (code points in words), n_symbols (``#*$%&|<>``),
     n_lines (lines with a word), n_dup_lines (those equal to an earlier one),
-    n_repeat_words, n_upper (A-Z). Null texts have no words and count 0.
+    n_repeat_words, n_upper (A-Z).
     """
-    text = F.col("_text")
-    staged = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    staged = staged.select(*keep, "_text", _native.spaced(text).alias("_spaced"))
-    staged = staged.select(
-        *keep,
-        "_text",
-        _native.words(F.col("_spaced")).alias("_words"),
-        F.length(F.replace("_spaced", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
-        F.filter(F.split(text, "\n"), lambda line: F.length(F.replace(_native.spaced(line), F.lit(" "), F.lit(""))) > 0).alias("_lines"),
-    )
-    return staged.select(
-        *keep,
-        F.size("_words").cast("long").alias("n_words"),
-        "word_chars",
-        _chars(text, r"[#*$%&|<>]").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
-        _chars(text, "[A-Z]").alias("n_upper"),
-    )
+    lines = F.filter(F.split("_text", "\n"), lambda line: F.length(F.replace(_native.spaced(line), F.lit(" "), F.lit(""))) > 0)
+    return {
+        "n_words": F.size("_words").cast("long"),
+        "word_chars": F.length(F.replace("_spaced", F.lit(" "), F.lit(""))).cast("long"),
+        "n_symbols": _chars(F.col("_text"), r"[#*$%&|<>]"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": F.element_at(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), 1).cast("long"),
+        "n_repeat_words": repeated_words(F.col("_words")),
+        "n_upper": _chars(F.col("_text"), "[A-Z]"),
+    }
+
+
+def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and every count of ``metrics``; null texts have no words and count 0."""
+    return staged(docs, keep).select(*keep, *(c.alias(n) for n, c in metrics().items()))
 
 
-def base_rules() -> list[Rule]:
-    """Too few words, or too many of them in repeated runs."""
+def base_rules(of: Callable[[str], Column] = F.col) -> list[Rule]:
+    """Too few words, or too many of them in repeated runs. ``of`` gives a count by name."""
     return [
-        Rule("few_words", F.col("n_words") < 10),
-        Rule("repeated_words", 100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
+        Rule("few_words", of("n_words") < 10),
+        Rule("repeated_words", 100 * of("n_repeat_words") > 20 * of("n_words")),
     ]
 
 
-def default_rules() -> list[Rule]:
-    """The base rules and four on symbols, repeated lines, word length and capitals, over ``measured`` columns."""
+def default_rules(of: Callable[[str], Column] = F.col) -> list[Rule]:
+    """The base rules and four on symbols, repeated lines, word length and capitals."""
     return [
-        *base_rules(),
-        Rule("symbols", 100 * F.col("n_symbols") > 30 * F.col("n_words")),
-        Rule("repeated_lines", 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
-        Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words"))),
-        Rule("capitals", 100 * F.col("n_upper") > 50 * F.col("word_chars")),
+        *base_rules(of),
+        Rule("symbols", 100 * of("n_symbols") > 30 * of("n_words")),
+        Rule("repeated_lines", 100 * of("n_dup_lines") > 30 * of("n_lines")),
+        Rule("word_length", (of("word_chars") < 2 * of("n_words")) | (of("word_chars") > 20 * of("n_words"))),
+        Rule("capitals", 100 * of("n_upper") > 50 * of("word_chars")),
     ]
 
 
-def ordered(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """``rules`` by the share they reject per second on the sample; ties keep the given order."""
+def ordered(sample: DataFrame, rules: list[Rule]) -> list[str]:
+    """Names of ``rules`` by the share they reject per second on the sample; ties keep the given order."""
+    sample.agg(*(F.count_if(r.rejects) for r in rules)).collect()  # code is compiled before it is timed
     ranks = []
     for at, rule in enumerate(rules):
         began = time.perf_counter()
         share = sample.agg(F.avg(F.coalesce(rule.rejects, F.lit(False)).cast("double")).alias("share")).first()["share"] or 0.0
-        ranks.append((-share / (time.perf_counter() - began), at, rule))
-    return [rule for _, _, rule in sorted(ranks, key=lambda r: r[:2])]
+        ranks.append((-share / (time.perf_counter() - began), at, rule.name))
+    return [name for _, _, name in sorted(ranks)]
 
 
-def cascade(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with kept (no rule rejects) and failed_rule (the first that does, in cascade order).
+def cascade(docs: DataFrame, rules: list[Rule], order: list[str]) -> DataFrame:
+    """``docs`` with kept (no rule rejects) and failed_rule (the first in ``order`` that does).
 
-    A rule that is null for a row does not reject it; repeated rows are each
-    judged; an empty table gives an empty result. Columns named kept or
+    A rule that is null for a row does not reject it. Columns named kept or
     failed_rule are replaced.
     """
-    sample = docs.limit(sample_rows).persist()
-    try:
-        plan = ordered(sample, rules)
-    finally:
-        sample.unpersist()
-    failed = F.lit(None).cast("string")
-    for rule in reversed(plan):
-        failed = F.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(rule.name)).otherwise(failed)
+    by_name = {r.name: r for r in rules}
+    failed = None
+    for name in order:
+        rejects = F.coalesce(by_name[name].rejects, F.lit(False))
+        failed = F.when(rejects, name) if failed is None else failed.when(rejects, name)
+    failed = F.lit(None).cast("string") if failed is None else failed
     return docs.withColumn("failed_rule", failed).withColumn("kept", F.col("failed_rule").isNull())
 
 
-def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, the counts of ``measured``, base_failed, kept and failed_rule of every row of ``docs``."""
-    out = cascade(measured(docs, ["doc_id"]), rules or default_rules(), sample_rows)
+def judge(docs: DataFrame, rules: Callable[[Callable[[str], Column]], list[Rule]] = default_rules, counts: bool = True, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, kept and failed_rule of every row of ``docs``; with ``counts`` every count and base_failed too.
+
+    Null texts count as empty; repeated rows are each judged; other columns are
+    ignored whatever their names; an empty table gives an empty result.
+    """
+    count = metrics()
+    inline = rules(count.__getitem__)
+    sample = docs.select("doc_id", "text").limit(sample_rows).persist()
+    try:
+        order = ordered(staged(sample, ["doc_id"]), inline)
+    finally:
+        sample.unpersist()
+    if not counts:
+        return cascade(staged(docs, ["doc_id"]), inline, order).select("doc_id", "kept", "failed_rule")
     base = F.lit(False)
     for rule in base_rules():
         base = base | rule.rejects
-    return out.withColumn("base_failed", base)
+    return cascade(measured(docs, ["doc_id"]), rules(F.col), order).withColumn("base_failed", base)

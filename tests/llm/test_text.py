@@ -119,15 +119,19 @@ def test_rules_equal_brute_force(spark):
     assert mine == sorted((cases.near(i), *brute_counts(t)) for i, t in rows)
     for r in got:
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept) and (r.failed_rule is None) == r.kept
+    verdict = {(cases.near(r.doc_id), r.kept) for r in got}
+    assert {(cases.near(r.doc_id), r.kept) for r in rules.judge(cases.table(spark, rows), counts=False).collect()} == verdict
     assert rules.judge(cases.empty(spark)).count() == 0
 
 
 def test_cascade_order_follows_rejection_and_changes_no_verdict(spark):
     docs = spark.range(1000)
     some = [rules.Rule("never", F.col("id") < 0), rules.Rule("most", F.col("id") > 100), rules.Rule("null", F.lit(None).cast("boolean"))]
-    assert rules.ordered(docs, some)[0].name == "most"
-    for given_order in (some, some[::-1]):
-        assert sorted(r.id for r in rules.cascade(docs, given_order).where("kept").collect()) == list(range(101))
+    order = rules.ordered(docs, some)
+    assert order[0] == "most" and sorted(order) == ["most", "never", "null"]
+    for given in (order, order[::-1]):
+        assert sorted(r.id for r in rules.cascade(docs, some, given).where("kept").collect()) == list(range(101))
+    assert rules.cascade(docs, [], []).where("kept").count() == 1000
 
 
 # decontamination
