@@ -82,6 +82,25 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON d = doc_id
 """
 
+#: crc32 of an id as text, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)),
+  lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda a, b: xor(a >> 1, 3988292384::UBIGINT * (a & 1::UBIGINT)))), 4294967295::UBIGINT)"""
+
+OP6 = f"""
+WITH d AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS.format(_LOW)}, ' ') AS ws FROM documents),
+t AS (SELECT doc_id, held_out, w, CASE WHEN i = 1 THEN '  ' ELSE ws[i - 1] END AS h
+      FROM (SELECT doc_id, held_out, ws, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+u AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+s AS (SELECT w, c FROM u UNION ALL SELECT '  ', count(*) FROM d WHERE NOT held_out),
+n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM u),
+g AS (SELECT h, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY h, w),
+p AS (SELECT doc_id, held_out, n, coalesce(u.c, 0) AS c, (coalesce(u.c, 0) + 1) / (n + v + 1) AS p, coalesce(g.c, 0) AS two, coalesce(s.c, 0) AS held
+      FROM t CROSS JOIN n LEFT JOIN u ON t.w = u.w LEFT JOIN g ON t.h = g.h AND t.w = g.w LEFT JOIN s ON t.h = s.w)
+SELECT doc_id, held_out, count(*) AS n_tokens, count_if(c > 0) AS n_known, n AS train_tokens, sum(log10(p)) AS base_score,
+       sum(log10((two + 50.0::DOUBLE * p) / (held + 50.0::DOUBLE))) AS score
+FROM p GROUP BY doc_id, held_out, n
+"""
+
 OP10 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 b AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x, CASE WHEN 2 * i + 100 <= length(h) THEN md5_number(substr(h, 2 * i + 1, 100)) END AS s
@@ -102,6 +121,7 @@ ORACLES: dict[str, str] = {
     "op2_decontamination": OP2,
     "op3_chat_tree": OP3,
     "op4_jaccard_tree": OP4,
+    "op6_backoff_automaton": OP6,
     "op7_quality_rules": OP7,
     "op10_suffix_dedup": OP10,
 }
