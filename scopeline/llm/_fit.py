@@ -10,6 +10,8 @@ from . import _text
 
 #: Longest text, in characters, that a training row may have; scoring has no such bound.
 MAX_TRAIN_CHARS = 200_000
+#: Labels that ``labelled_by`` learns at most, the most frequent ones.
+MAX_LABELS = 64
 
 
 def remainder(modulus: int, column: str = "doc_id") -> Column:
@@ -36,15 +38,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows:
 
 
 def labelled_by(docs: DataFrame, label: str, keep: Column, rows: int) -> list[tuple[str, object]]:
-    """As ``labelled``, with the label in a column of ``docs``; at most ``rows`` ids of each label."""
-    ids = docs.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.col("text").isNotNull() & keep)
-    order = Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """As ``labelled``, with the label in a column of ``docs``; at most ``rows`` ids of each of at most ``MAX_LABELS`` labels."""
+    ids = docs.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.col("text").isNotNull() & keep).groupBy("doc_id").agg(F.max(label).alias("_label"))
+    # a label's ids are thinned by their hashes to some four times what is asked for before they meet in one task
+    counts = ids.groupBy("_label").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_label").limit(MAX_LABELS)
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
+    order = Window.partitionBy("_label").orderBy(share, "doc_id")
     chosen = (
-        ids.groupBy("doc_id")
-        .agg(F.max(label).alias("_label"))
+        ids.join(counts, "_label")
+        .where(share * F.col("_n") < 4 * rows + 100)
         .withColumn("_at", F.row_number().over(order))
         .where(F.col("_at") <= rows)
-        .drop("_at")
+        .select("doc_id", "_label")
     )
     return _texts(docs, chosen)
 
