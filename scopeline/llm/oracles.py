@@ -102,9 +102,9 @@ FROM p GROUP BY doc_id, held_out, n
 """
 
 OP10 = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-b AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x, CASE WHEN 2 * i + 100 <= length(h) THEN md5_number(substr(h, 2 * i + 1, 100)) END AS s
-      FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d)),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+b AS (SELECT doc_id, i, hex(h[i + 1:i + 1]) AS x, CASE WHEN i + 50 <= octet_length(h) THEN md5_number(h[i + 1:i + 50]) END AS s
+      FROM (SELECT doc_id, h, unnest(range(0, octet_length(h))) AS i FROM d)),
 f AS (SELECT s, min(doc_id) AS first FROM b WHERE s IS NOT NULL GROUP BY s),
 m AS (SELECT doc_id, i, x, coalesce(first < doc_id, FALSE)::INT AS hit FROM b LEFT JOIN f USING (s)),
 c AS (SELECT doc_id, i, x, (coalesce(max(CASE WHEN hit = 1 THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -50) > i - 50)::INT AS gone FROM m),
@@ -112,7 +112,7 @@ e AS (SELECT doc_id, i, x, gone, coalesce(lag(gone) OVER (PARTITION BY doc_id OR
 g AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, sum((gone = 1 AND prev = 0)::INT)::BIGINT AS n_spans,
              string_agg(CASE WHEN gone = 0 THEN x END, '' ORDER BY i) AS kept
       FROM e GROUP BY doc_id)
-SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+SELECT d.doc_id, octet_length(h)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
        sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)
 """
