@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 #: Inverse of _MUL modulo 2**64.

@@ -34,7 +34,7 @@ from . import _text, _tree, graph
 PART, WHOLE = 75, 100
 #: Members of a cell that are joined in one task.
 CELL = 400
-BLOCK_BYTES, BUCKET_SHINGLES = 4 << 20, 2 << 20
+BLOCK_BYTES, BUCKET_SHINGLES = 2 << 20, 1 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -72,6 +72,7 @@ class _Block:
     """Sets of the documents of a block that stand for their equals."""
 
     def __init__(self, docs: pa.Table, notes: pa.Table):
+        pa.default_memory_pool().release_unused()
         kind, key, data = notes.column("kind").to_numpy(), notes.column("key").to_numpy(), notes.column("data")
         leads = set(key[kind == 0].tolist())
         keys = docs.column("_key").to_numpy()

@@ -44,9 +44,11 @@ WIDE = (CELL + 7) // 8 * 8
 #: The columns of a suffix that lie around its anchor, in the order in which they are sorted.
 _TURN = np.concatenate([np.arange(REACH - 1, CELL - 2), np.arange(REACH - 1)])
 #: Bytes of text in a block and anchors in a bucket, about.
-BLOCK_BYTES, BUCKET_ANCHORS = 4 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_ANCHORS = 2 << 20, 1 << 19
+#: Bytes in which anchors are looked for at once.
+CHUNK_BYTES = 1 << 18
 #: Windows sorted at once in a bucket, about.
-SORT_WINDOWS = 200_000
+SORT_WINDOWS = 50_000
 _LAST = (1 << 63) - 1
 _PLACE_BITS = np.uint64(30)
 
@@ -82,7 +84,7 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def cells(buf: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The suffixes of some anchors as rows of bytes; what lies outside their windows is 0."""
     out = np.zeros((len(place), WIDE), dtype=np.uint8)
-    step = max(1, (1 << 22) // CELL)
+    step = 8192
     for i in range(0, len(place), step):
         p, a, b = place[i : i + step, None], first[i : i + step, None], last[i : i + step, None]
         at = p + (_TURN - (REACH - 1))[None, :]
@@ -97,6 +99,7 @@ class _Block:
     """The texts of one block, of which each distinct (id, text) takes part once if it is its text's least copy."""
 
     def __init__(self, docs: pa.Table, notes: pa.Table):
+        pa.default_memory_pool().release_unused()
         self.key = docs.column("_key").to_numpy()
         digest = docs.column("_digest").to_pylist()
         kinds, keys, data = notes.column("kind").to_numpy(), notes.column("key").to_numpy(), notes.column("data")
@@ -115,7 +118,7 @@ class _Block:
         size = np.diff(self.off)[self.rows]
         out, i = [[], [], [], [], []], 0
         while i < len(self.rows):
-            j = max(i + 1, int(np.searchsorted(np.cumsum(size[i:]), _text.CHUNK_BYTES, side="right")) + i)
+            j = max(i + 1, int(np.searchsorted(np.cumsum(size[i:]), CHUNK_BYTES, side="right")) + i)
             take = self.rows[i:j]
             off = np.concatenate([[0], np.cumsum(size[i:j])])
             buf = np.concatenate([self.buf[self.off[r] : self.off[r + 1]] for r in take])
@@ -250,6 +253,7 @@ def _window_bits(grid: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def _answer_suffixes(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
+    pa.default_memory_pool().release_unused()
     grids = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, CELL) for x in sent.column("data")]
     ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in sent.column("ids")])
     grid = np.zeros((len(ids), WIDE), dtype=np.uint8)
