@@ -146,11 +146,13 @@ def format_trees(conversations: DataFrame, group_chars: int = GROUP_CHARS) -> Da
     whatever their names; an empty table gives an empty result.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    each = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.sum(F.length(F.coalesce("text", F.lit(""))) + 32).alias("chars"))
-    first = F.get("turns", 0)
-    keyed = each.withColumn("root", F.xxhash64(first["role"], first["text"]))
-    # first turns whose conversations fill more than a group, and in how many groups they go
-    wide = keyed.groupBy("root").agg(F.sum("chars").alias("n")).where(F.col("n") > group_chars).select("root", F.ceil(F.col("n") / group_chars).cast("long").alias("parts"))
+    own = F.col("conv_id").cast("long").alias("conv_id")
+    said = F.length(F.coalesce("text", F.lit(""))) + 32
+    keyed = conversations.groupBy(own).agg(F.array_sort(F.collect_list(turn)).alias("turns")).withColumn("_first", F.get("turns", 0))
+    keyed = keyed.select("conv_id", "turns", F.xxhash64("_first.role", "_first.text").alias("root"))
+    # first turns whose conversations fill more than a group, and in how many groups they go; only first turns are shuffled for this
+    brief = conversations.groupBy(own).agg(F.min(turn).alias("_first"), F.sum(said).alias("chars")).select(F.xxhash64("_first.role", "_first.text").alias("root"), "chars")
+    wide = brief.groupBy("root").agg(F.sum("chars").alias("n")).where(F.col("n") > group_chars).select("root", F.ceil(F.col("n") / group_chars).cast("long").alias("parts"))
     total = conversations.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(32, total // group_chars)
     placed = keyed.join(wide, "root", "left")
