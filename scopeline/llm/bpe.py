@@ -171,6 +171,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for a, b, ids, off in encode_words(tokenizer, batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(off)), _text.blobs(ids, off)], ["doc_id", "n_tokens", "ids"])
+            _text.release()
 
     return _words(docs, path, ["doc_id"]).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 
@@ -206,6 +207,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 digest = [hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(off[:-1], off[1:], strict=True)]
                 decoded = [hashlib.sha256(t.encode()).hexdigest() for t in decode_ids(tokenizer, ids, off)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(off)), pa.array(digest), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            _text.release()
 
     return _words(docs, path, ["doc_id"]).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -64,6 +64,7 @@ def shingle_counts(docs: DataFrame) -> DataFrame:
                 value, edge = _sets(part, o)
                 one, two = _digests(value, edge)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(edge)), pa.array(one), pa.array(two)], ["_key", "n_shingles", "one", "two"])
+            _text.release()
 
     return docs.select("_key", "text").mapInArrow(run, "_key long, n_shingles long, one long, two long")
 
@@ -72,7 +73,6 @@ class _Block:
     """Sets of the documents of a block that stand for their equals."""
 
     def __init__(self, docs: pa.Table, notes: pa.Table):
-        pa.default_memory_pool().release_unused()
         kind, key, data = notes.column("kind").to_numpy(), notes.column("key").to_numpy(), notes.column("data")
         leads = set(key[kind == 0].tolist())
         keys = docs.column("_key").to_numpy()
@@ -254,10 +254,10 @@ def classes(docs: DataFrame, cell: int = CELL) -> DataFrame:
     dealt = keyed.withColumn("_block", block("_key"))
 
     def with_notes(more: DataFrame, run, schema: str) -> DataFrame:
-        return dealt.groupBy("_block").cogroup(more.groupBy("block")).applyInArrow(run, schema)
+        return dealt.groupBy("_block").cogroup(more.groupBy("block")).applyInArrow(_text.tidy(run), schema)
 
     sent = with_notes(notes, _send(buckets), "bucket long, block long, data binary, many binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer, "block long, kind int, key long, data binary")
+    answers = sent.groupBy("bucket").applyInArrow(_text.tidy(_answer), "block long, kind int, key long, data binary")
     kept = cut(with_notes(notes.unionByName(answers), _keep(buckets), "id long, size long, prefix array<long>, tokens binary"))
     label = graph.components(links(kept, cell))
     lead_class = leads.join(label, leads["lead"] == label["id"], "left").select("n_shingles", "one", "two", F.coalesce("component", "lead").alias("class"))

@@ -99,7 +99,6 @@ class _Block:
     """The texts of one block, of which each distinct (id, text) takes part once if it is its text's least copy."""
 
     def __init__(self, docs: pa.Table, notes: pa.Table):
-        pa.default_memory_pool().release_unused()
         self.key = docs.column("_key").to_numpy()
         digest = docs.column("_digest").to_pylist()
         kinds, keys, data = notes.column("kind").to_numpy(), notes.column("key").to_numpy(), notes.column("data")
@@ -253,7 +252,6 @@ def _window_bits(grid: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def _answer_suffixes(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
-    pa.default_memory_pool().release_unused()
     grids = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, CELL) for x in sent.column("data")]
     ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in sent.column("ids")])
     grid = np.zeros((len(ids), WIDE), dtype=np.uint8)
@@ -337,11 +335,11 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     sent_type, note_type = "bucket long, block long, data binary, ids binary", "block long, kind int, key long, data binary"
 
     def with_notes(notes: DataFrame, run, schema: str) -> DataFrame:
-        return dealt.groupBy("_block").cogroup(notes.groupBy("block")).applyInArrow(run, schema)
+        return dealt.groupBy("_block").cogroup(notes.groupBy("block")).applyInArrow(_text.tidy(run), schema)
 
-    shared = with_notes(leads, _send_anchors(buckets), sent_type).groupBy("bucket").applyInArrow(_answer_anchors, note_type)
+    shared = with_notes(leads, _send_anchors(buckets), sent_type).groupBy("bucket").applyInArrow(_text.tidy(_answer_anchors), note_type)
     known = leads.unionByName(shared)
-    answers = with_notes(known, _send_suffixes(buckets), sent_type).groupBy("bucket").applyInArrow(_answer_suffixes, note_type)
+    answers = with_notes(known, _send_suffixes(buckets), sent_type).groupBy("bucket").applyInArrow(_text.tidy(_answer_suffixes), note_type)
     kinds = dict(docs.dtypes)
     names = ["doc_id", *carry]
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_bytes long, n_removed long, n_spans long, kept binary"

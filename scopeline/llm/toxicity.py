@@ -158,5 +158,6 @@ def below(docs: DataFrame, model: _crf.Crf, threshold: float) -> DataFrame:
             buf, off = _text.flat(batch.column("text"))
             score = np.concatenate([np.zeros(0), *(scores(sent.value, b, o)[0] for _, _, b, o in _text.chunks(buf, off))])
             yield batch.filter(pa.array(score < threshold))
+            _text.release()
 
     return docs.mapInArrow(run, docs.schema)
