@@ -136,18 +136,24 @@ def stability(held: list[Box], method: str, width: int, height: int, min_half: i
 
 
 def bootstrap_boxes(held: list[Box], resamples: int = 1000, block: int = 3, method: str = "median", width: int = 1280, height: int = 720) -> list[Box]:
-    """Boxes of resamples made of runs of ``block`` bins; none from fewer bins than a block."""
+    """Boxes of resamples made of runs of ``block`` bins; none from fewer bins than a block.
+
+    Resamples are drawn, and medians taken, many at a time; the draws are those of one resample after another.
+    """
     n = len(held)
     if n < block:
         return []
-    draw = np.random.default_rng(fixed.SPLIT_SEED)
-    out = []
-    for _ in range(resamples):
-        starts = draw.integers(0, max(1, n - block + 1), size=-(-n // block))
-        picked = [held[i] for s in starts.tolist() for i in range(s, s + block)][:n]
-        found = estimate(picked, method, width, height)
-        if found is not None:
-            out.append(found)
+    draw, side = np.random.default_rng(fixed.SPLIT_SEED), np.asarray(held, dtype=np.float64)
+    out, step = [], max(1, 250_000 // n)
+    for done in range(0, resamples, step):
+        starts = draw.integers(0, max(1, n - block + 1), size=(min(step, resamples - done), -(-n // block)))
+        picked = (starts[:, :, None] + np.arange(block)).reshape(len(starts), -1)[:, :n]
+        if method == "median":
+            x1, y1, x2, y2 = np.rint(np.median(side[picked], axis=1)).astype(np.int64).T
+            out += zip(x1.tolist(), y1.tolist(), np.maximum(x2, x1 + 1).tolist(), np.maximum(y2, y1 + 1).tolist(), strict=True)
+        else:
+            each = (estimate([held[i] for i in row], method, width, height) for row in picked.tolist())
+            out += [box for box in each if box is not None]
     return out
 
 

@@ -180,7 +180,7 @@ def temporal_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bootstrap_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    return flat(stability.bootstrap(_bins(spark, sf), 100), "box")
+    return flat(stability.bootstrap(_bins(spark, sf)), "box")
 
 
 # masks and frames

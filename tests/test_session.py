@@ -155,3 +155,25 @@ def test_bootstrap_is_seeded():
     held = [(i, i, 50 + i, 60 + i) for i in range(10)]
     assert kernels.bootstrap_boxes(held[:2]) == [] and len(kernels.bootstrap_boxes(held, 50)) == 50
     assert kernels.bootstrap_boxes(held, 50) == kernels.bootstrap_boxes(held, 50)
+
+
+@pytest.mark.parametrize("method", ["median", "quantile"])
+def test_bootstrap_equals_one_resample_after_another(method):
+    for n in (3, 4, 7, 31, 400):
+        held = [((7 * i) % 13, i % 5, 13 + (11 * i) % 17, 6 + i % 3) for i in range(n)]
+        draw, expected = np.random.default_rng(fixed.SPLIT_SEED), []
+        for _ in range(700):
+            picked = []
+            for start in draw.integers(0, max(1, n - 2), size=int(np.ceil(n / 3))):
+                picked.extend(held[int(start) : int(start) + 3])
+            expected.append(kernels.estimate(picked[:n], method, W, H))
+        assert kernels.bootstrap_boxes(held, 700, method=method) == expected
+
+
+def test_bootstrap_query_has_every_resample(spark):
+    from scopeline import queries
+
+    sf = "/root/testdata/sf0.001"
+    bins = {r.recording_id: r["count"] for r in queries._bins(spark, sf).groupBy("recording_id").count().collect()}
+    found = {r.recording_id: r["count"] for r in queries.bootstrap_boxes(spark, sf).groupBy("recording_id").count().collect()}
+    assert found == {k: 1000 for k, n in bins.items() if n >= 3} and found
