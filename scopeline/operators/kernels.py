@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -92,16 +93,21 @@ def estimate(held: list[Box], method: str, width: int, height: int) -> Box | Non
     raise ValueError(f"unknown method {method!r}")
 
 
-@lru_cache(maxsize=256)
-def splits(n: int) -> tuple[tuple[str, tuple[int, ...], tuple[int, ...]], ...]:
+def halvings(n: int) -> Iterator[tuple[str, tuple[int, ...], tuple[int, ...]]]:
     """The eight ways to halve n bins: by parity, by time, and by six seeded shuffles."""
     every = tuple(range(n))
-    out = [("even_odd", every[::2], every[1::2]), ("front_back", every[: n // 2], every[n // 2 :])]
+    yield "even_odd", every[::2], every[1::2]
+    yield "front_back", every[: n // 2], every[n // 2 :]
     draw = np.random.default_rng(fixed.SPLIT_SEED)
     for k in range(fixed.RANDOM_SPLITS):
         mixed = draw.permutation(n).tolist()
-        out.append((f"random_{k}", tuple(sorted(mixed[: n // 2])), tuple(sorted(mixed[n // 2 :]))))
-    return tuple(out)
+        yield f"random_{k}", tuple(sorted(mixed[: n // 2])), tuple(sorted(mixed[n // 2 :]))
+
+
+@lru_cache(maxsize=256)
+def splits(n: int) -> tuple[tuple[str, tuple[int, ...], tuple[int, ...]], ...]:
+    """``halvings``, kept: for the monitor's counts of bins."""
+    return tuple(halvings(n))
 
 
 def iou(a: Box, b: Box) -> float:
@@ -120,15 +126,27 @@ def area_ratio(a: Box, b: Box) -> float:
     return min(area(a), area(b)) / most if most > 0 else 0.0
 
 
+def split_scores(held: list[Box], method: str, width: int, height: int, min_half: int = fixed.MIN_BINS) -> tuple[list[tuple[float, float]], int]:
+    """Overlap and area ratio of the halves of each split that can be judged, and how many cannot."""
+    scores, few = [], 0
+    for _, one, two in splits(len(held)) if len(held) <= fixed.EVIDENCE_BINS else halvings(len(held)):
+        if len(held) < 2 * min_half or min(len(one), len(two)) < min_half:
+            few += 1
+            continue
+        a, b = (estimate([held[i] for i in part], method, width, height) for part in (one, two))
+        if a is None or b is None:
+            few += 1
+        else:
+            scores.append((iou(a, b), area_ratio(a, b)))
+    return scores, few
+
+
 def stability(held: list[Box], method: str, width: int, height: int, min_half: int = fixed.MIN_BINS) -> tuple[bool, str]:
     """Whether the worst split still agrees, and the reason."""
-    scores = []
-    if len(held) >= 2 * min_half:
-        for _, one, two in splits(len(held)):
-            if min(len(one), len(two)) >= min_half:
-                a, b = (estimate([held[i] for i in part], method, width, height) for part in (one, two))
-                if a is not None and b is not None:
-                    scores.append((iou(a, b), area_ratio(a, b)))
+    return verdict(split_scores(held, method, width, height, min_half)[0])
+
+
+def verdict(scores: list[tuple[float, float]]) -> tuple[bool, str]:
     if not scores:
         return False, fixed.INSUFFICIENT_SPLIT
     stable = min(s for s, _ in scores) >= fixed.MIN_SPLIT_IOU and min(r for _, r in scores) >= fixed.MIN_AREA_RATIO

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes, fixed
@@ -16,28 +16,32 @@ def split_rows(max_bins: int = fixed.EVIDENCE_BINS) -> list[tuple[int, str, str,
     return [(n, name, half, pos) for n in range(1, max_bins + 1) for name, one, two in kernels.splits(n) for half, part in (("a", one), ("b", two)) for pos in part]
 
 
-def split_table(spark: SparkSession, max_bins: int = fixed.EVIDENCE_BINS) -> DataFrame:
-    """The split family as a table: 14,640 rows for 60 bins, so it may be broadcast."""
-    return spark.createDataFrame(split_rows(max_bins), "n_bins int, split string, half string, pos int")
-
-
-def split_half(evidence: DataFrame, max_bins: int = fixed.EVIDENCE_BINS, min_half: int = fixed.MIN_BINS) -> DataFrame:
-    """The verdict on each recording's median box: worst overlap and area ratio over the splits.
-
-    Recordings of more than ``max_bins`` bins are judged by the last ``max_bins``.
-    """
-    placed = ev.positions(evidence).where(F.col("pos") >= F.col("n_bins") - max_bins)
-    placed = placed.withColumn("pos", F.col("pos") - F.greatest(F.col("n_bins") - max_bins, F.lit(0))).withColumn("n_bins", F.least(F.col("n_bins"), F.lit(max_bins)))
-    family = F.broadcast(split_table(evidence.sparkSession, max_bins))
-    halves = placed.select("recording_id", "box", F.col("n_bins").cast("int"), F.col("pos").cast("int")).join(family, ["n_bins", "pos"])
-    each = halves.groupBy("recording_id", "n_bins", "split").pivot("half", ["a", "b"]).agg(F.count(F.lit(1)).alias("n"), ev.median_box().alias("box"))
-    enough = (F.col("a_n") >= min_half) & (F.col("b_n") >= min_half) & (F.col("n_bins") >= 2 * min_half)
-    judged = each.withColumn("enough", F.coalesce(enough, F.lit(False)))
-    judged = judged.withColumn("iou", F.when(F.col("enough"), boxes.iou(F.col("a_box"), F.col("b_box")))).withColumn("ratio", F.when(F.col("enough"), boxes.area_ratio(F.col("a_box"), F.col("b_box"))))
-    out = judged.groupBy("recording_id", "n_bins").agg(F.min("iou").alias("worst_iou"), F.min("ratio").alias("worst_area_ratio"), F.count_if("enough").alias("n_evaluated"), F.count_if(~F.col("enough")).alias("n_insufficient"))
-    stable = F.coalesce((F.col("worst_iou") >= fixed.MIN_SPLIT_IOU) & (F.col("worst_area_ratio") >= fixed.MIN_AREA_RATIO), F.lit(False))
-    reason = F.when(F.col("n_evaluated") == 0, fixed.INSUFFICIENT_SPLIT).when(stable, fixed.OK).otherwise(fixed.UNSTABLE)
-    return out.withColumn("stable", stable).withColumn("reason", reason)
+def split_half(evidence: DataFrame, min_half: int = fixed.MIN_BINS) -> DataFrame:
+    """The verdict on each recording's median box: worst overlap and area ratio over the splits of all its bins."""
+    kind = evidence.schema["recording_id"].dataType.simpleString()
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("bin")
+        held = list(zip(*(rows.column(s).to_pylist() for s in boxes.SIDES), strict=True))
+        scores, few = kernels.split_scores(held, "median", 0, 0, min_half)
+        stable, reason = kernels.verdict(scores)
+        worst = [min(x) for x in zip(*scores, strict=True)] or [None, None]
+        return pa.table(
+            {
+                "recording_id": rows.column("recording_id").slice(0, 1),
+                "n_bins": pa.array([len(held)], pa.int32()),
+                "worst_iou": pa.array(worst[:1], pa.float64()),
+                "worst_area_ratio": pa.array(worst[1:], pa.float64()),
+                "n_evaluated": pa.array([len(scores)], pa.int64()),
+                "n_insufficient": pa.array([few], pa.int64()),
+                "stable": pa.array([stable], pa.bool_()),
+                "reason": pa.array([reason], pa.string()),
+            }
+        )
+
+    flat = evidence.select("recording_id", "bin", *(F.col("box")[s].alias(s) for s in boxes.SIDES))
+    schema = f"recording_id {kind}, n_bins int, worst_iou double, worst_area_ratio double, n_evaluated long, n_insufficient long, stable boolean, reason string"
+    return flat.groupBy("recording_id").applyInArrow(run, schema)
 
 
 def segments(evidence: DataFrame) -> DataFrame:

@@ -177,3 +177,14 @@ def test_bootstrap_query_has_every_resample(spark):
     bins = {r.recording_id: r["count"] for r in queries._bins(spark, sf).groupBy("recording_id").count().collect()}
     found = {r.recording_id: r["count"] for r in queries.bootstrap_boxes(spark, sf).groupBy("recording_id").count().collect()}
     assert found == {k: 1000 for k, n in bins.items() if n >= 3} and found
+
+
+def test_split_half_judges_every_bin(spark):
+    from scopeline.operators import stability
+
+    # the box moves before the last 60 bins; another stays; a third has too few bins
+    rows = [(1, k, A if k < 40 else B) for k in range(100)] + [(2, k, A) for k in range(75)] + [(3, k, A) for k in range(3)]
+    out = {r.recording_id: r for r in stability.split_half(spark.createDataFrame(rows, "recording_id long, bin int, box struct<x1:int,y1:int,x2:int,y2:int>")).collect()}
+    assert (out[1].n_bins, out[1].stable, out[1].reason, out[1].worst_iou) == (100, False, fixed.UNSTABLE, 0.0)
+    assert (out[2].n_bins, out[2].stable, out[2].reason, out[2].n_evaluated, out[2].n_insufficient) == (75, True, fixed.OK, 8, 0)
+    assert (out[3].n_bins, out[3].stable, out[3].reason, out[3].worst_iou, out[3].n_insufficient) == (3, False, fixed.INSUFFICIENT_SPLIT, None, 8)
