@@ -11,9 +11,12 @@ The template marks turns by control strings. Inside texts a backslash goes after
 the first character of every control string, and backslashes are doubled, so no
 control string of the output comes from a text and the texts can be read back.
 
-Conversations are dealt to bounded groups by their first turn; a first turn that
-more conversations share than a group holds is dealt to several groups by
-conversation, and its prefix is then written once in each.
+Conversations are dealt to bounded groups by their first turn. A beginning that
+more conversations share than a group holds is *wide*: its conversations are
+dealt by the turn after the longest wide beginning, so everything below it is
+still written once, and only the wide turns themselves are written again, once in
+each group that they lead to. Identical conversations that fill more than a group
+have no turn left to differ in; they alone are dealt by id.
 """
 
 from __future__ import annotations
@@ -23,13 +26,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Control strings of the template.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[SAYS]", "[/ROLE]")
 #: Characters of conversations in a group, about.
 GROUP_CHARS = 4_000_000
+#: Wide beginnings up to which their table is broadcast.
+BROADCAST_ROWS = 200_000
 
 _ESCAPE = re.compile("|".join([r"\\", *(re.escape(c) for c in CONTROLS)]))
 _UNESCAPE = re.compile("|".join([r"\\\\", *(re.escape(c[0] + "\\" + c[1:]) for c in CONTROLS)]))
@@ -137,6 +144,44 @@ _LISTS = ("parent", "start", "end", "position", "loss_start", "loss_end", "leaf"
 SCHEMA = "tree long, text string, conv_id array<long>, " + ", ".join(f"`{n}` array<int>" for n in _LISTS) + ", attends array<array<int>>"
 
 
+def _step(at: Column, role: Column, said: Column) -> Column:
+    """Hash of a turn at its place; those of a beginning, xored, are its key."""
+    return F.xxhash64(at.cast("long"), role, said)
+
+
+def _deep(turns: DataFrame, group_chars: int) -> DataFrame | None:
+    """conv_id, key of the longest wide beginning and salt of each conversation that has one; None if none has.
+
+    ``turns`` has conv_id, turn, role, a hash of the text (said) and chars; ties
+    are ordered by the hash. No text is shuffled here. A null id has no row: its
+    one conversation goes by its first turn.
+    """
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    brief = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "said")).alias("_first"), F.sum("chars").alias("whole"))
+    brief = brief.select("conv_id", _step(F.lit(1), F.col("_first.role"), F.col("_first.said")).alias("root"), "whole")
+    roots = cut(brief.groupBy("root").agg(F.sum("whole").alias("n")).where(F.col("n") > group_chars).select("root"))
+    if roots.isEmpty():
+        return None
+    hot = brief.join(sent(roots), "root", "left_semi").select("conv_id", "whole")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "said")
+    step = turns.join(hot, "conv_id").withColumn("k", F.row_number().over(order)).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
+    step = step.withColumn("key", F.bit_xor(_step(F.col("k"), F.col("role"), F.col("said"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # after its last turn a conversation has one more beginning: itself, ended
+    here = F.struct(F.col("k").alias("k"), F.col("key").alias("key"))
+    ended = F.struct((F.col("k") + 1).alias("k"), F.xxhash64("key", F.lit("end")).alias("key"))
+    each = cut(step.select("conv_id", "whole", F.explode(F.when(F.col("last"), F.array(here, ended)).otherwise(F.array(here))).alias("at")).select("conv_id", "whole", "at.k", "at.key"))
+    wide = cut(each.groupBy("key").agg(F.sum("whole").alias("n")).where(F.col("n") > group_chars).select("key", F.lit(True).alias("is_wide")))
+    at = F.struct("k", "key")
+    found = each.join(sent(wide), "key", "left").groupBy("conv_id", "whole").agg(F.max(F.when(F.col("is_wide"), at)).alias("deepest"), F.min(F.when(F.col("is_wide").isNull(), at)).alias("after"))
+    found = cut(found.where("deepest is not null").select("conv_id", "whole", F.col("deepest.key").alias("wide"), F.col("after.key").alias("after")))
+    parts = cut(found.groupBy("wide").agg(F.ceil(F.sum("whole") / group_chars).cast("long").alias("parts")))
+    by = F.when(F.col("after").isNull(), F.xxhash64("conv_id")).otherwise(F.xxhash64("after"))
+    return found.join(sent(parts), "wide").select("conv_id", "wide", F.pmod(by, "parts").alias("salt"))
+
+
 def format_trees(conversations: DataFrame, group_chars: int = GROUP_CHARS) -> DataFrame:
     """One row for each group's forest: text, conv_id, leaf and the nodes' lists (see ``tree``).
 
@@ -147,17 +192,16 @@ def format_trees(conversations: DataFrame, group_chars: int = GROUP_CHARS) -> Da
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     own = F.col("conv_id").cast("long").alias("conv_id")
-    said = F.length(F.coalesce("text", F.lit(""))) + 32
-    keyed = conversations.groupBy(own).agg(F.array_sort(F.collect_list(turn)).alias("turns")).withColumn("_first", F.get("turns", 0))
-    keyed = keyed.select("conv_id", "turns", F.xxhash64("_first.role", "_first.text").alias("root"))
-    # first turns whose conversations fill more than a group, and in how many groups they go; only first turns are shuffled for this
-    brief = conversations.groupBy(own).agg(F.min(turn).alias("_first"), F.sum(said).alias("chars")).select(F.xxhash64("_first.role", "_first.text").alias("root"), "chars")
-    wide = brief.groupBy("root").agg(F.sum("chars").alias("n")).where(F.col("n") > group_chars).select("root", F.ceil(F.col("n") / group_chars).cast("long").alias("parts"))
+    keyed = conversations.groupBy(own).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    first = F.array_min(F.transform("turns", lambda t: F.struct(t["turn"], t["role"].alias("role"), F.xxhash64(t["text"]).alias("said"))))
+    keyed = keyed.withColumn("_first", first).select("conv_id", "turns", _step(F.lit(1), F.col("_first.role"), F.col("_first.said")).alias("root"))
     total = conversations.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(32, total // group_chars)
-    placed = keyed.join(wide, "root", "left")
-    salt = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("conv_id"), F.col("parts"))).otherwise(F.lit(0))
-    placed = placed.select(F.pmod(F.xxhash64("root", salt), F.lit(groups)).alias("group"), "conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    deep = _deep(conversations.select(own, "turn", F.coalesce("role", F.lit("")).alias("role"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("said"), (F.length(F.coalesce("text", F.lit(""))) + 32).alias("chars")), group_chars)
+    placed = keyed.withColumn("salt", F.lit(0).cast("long"))
+    if deep is not None:
+        placed = keyed.join(deep, "conv_id", "left").select("conv_id", "turns", F.coalesce("wide", "root").alias("root"), F.coalesce("salt", F.lit(0).cast("long")).alias("salt"))
+    placed = placed.select(F.pmod(F.xxhash64("root", "salt"), F.lit(groups)).alias("group"), "conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         held = [(c, [(t["role"], t["text"]) for t in turns]) for c, turns in zip(rows.column("conv_id").to_pylist(), rows.column("turns").to_pylist(), strict=True)]

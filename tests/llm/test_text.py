@@ -218,5 +218,29 @@ def test_trees_read_back_and_share_prefixes(spark, group_chars):
     assert chat.format_trees(df.where("false"), group_chars).count() == 0
 
 
+def test_a_wide_beginning_is_dealt_by_the_turns_after_it(spark):
+    # one system prompt and greeting for all, then eight questions with answers of their own, and 30 whole copies of one conversation
+    rows = []
+    for c in range(120):
+        said = ["prompt " * 3, "greeting", f"question {c % 8}", f"answer {c}"] if c < 90 else ["prompt " * 3, "greeting", "copied", "end"]
+        rows += [(c, t, ["system", "assistant", "user", "assistant"][t], x) for t, x in enumerate(said)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for limit, copies in ((9000, 1), (3000, None)):
+        written = {}
+        trees = chat.format_trees(df, limit)
+        for tree in trees.collect():
+            for node in range(len(tree.start)):
+                path = tuple(tree.text[tree.start[i] : tree.end[i]] for i in chat.ancestors(tree.parent, node))
+                written[path] = written.get(path, 0) + 1
+        copied = max(n for p, n in written.items() if len(p) > 2 and "copied" in p[2])
+        assert copied == copies if copies else copied > 1
+        assert {n for p, n in written.items() if len(p) > 2 and "copied" not in p[2]} == {1}
+        assert 1 < max(n for p, n in written.items() if len(p) == 1) <= sum(len(r[3]) + 32 for r in rows) // limit + 3
+        held = {}
+        for c, _, r, x in rows:
+            held.setdefault(c, []).append((r, x))
+        assert {r.conv_id: [tuple(t) for t in r.turns] for r in chat.read_back(trees).collect()} == held
+
+
 def test_json_free_of_state():
     assert json.loads(json.dumps(chat.tree([(1, [("user", "a")]), (2, [("user", "a"), ("assistant", "b")])])))["leaf"] == [0, 1]
