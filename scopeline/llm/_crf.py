@@ -16,6 +16,8 @@ from . import _text
 
 SPAN = 48
 BITS = 17
+#: Tag pairs of words that a fit holds at a time, about.
+PAIRS = 4_000_000
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 #: Marks that are no part of a word at either end.
@@ -141,12 +143,15 @@ def fit(
             inner = np.ones(len(at), dtype=bool)
             inner[first] = False
             after = np.flatnonzero(inner)
-            pair = ahead[after - 1][:, :, None] * np.exp(model.move)[None] * (psi[after] * back[after])[:, None, :]
-            pair = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            summed = np.zeros((k, k), psi.dtype)
+            step = max(1, PAIRS // (k * k))
+            for some in (after[j : j + step] for j in range(0, len(after), step)):
+                pair = ahead[some - 1][:, :, None] * np.exp(model.move)[None] * (psi[some] * back[some])[:, None, :]
+                summed += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             seen = np.zeros((k, k))
             np.add.at(seen, (tag[at][after - 1], tag[at][after]), 1)
             begun = slope[first].mean(axis=0)
-            moved = (seen - pair) / max(len(after), 1)
+            moved = (seen - summed) / max(len(after), 1)
             square_move += moved**2
             square_begin += begun**2
             model.move += rate * moved / np.sqrt(square_move)

@@ -6,12 +6,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import _text
 
 #: Longest text, in characters, that a training row may have; scoring has no such bound.
 MAX_TRAIN_CHARS = 200_000
-#: Labels that ``labelled_by`` learns at most, the most frequent ones.
-MAX_LABELS = 64
+#: Rows of all labels together that ``labelled_by`` returns at most, but for one of each label.
+MAX_ROWS = 12_800
+#: Labels up to which their counts are broadcast, so that ids are thinned where they are.
+BROADCAST_LABELS = 200_000
 
 
 def remainder(modulus: int, column: str = "doc_id") -> Column:
@@ -38,14 +41,19 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows:
 
 
 def labelled_by(docs: DataFrame, label: str, keep: Column, rows: int) -> list[tuple[str, object]]:
-    """As ``labelled``, with the label in a column of ``docs``; at most ``rows`` ids of each of at most ``MAX_LABELS`` labels."""
+    """As ``labelled``, with the label in a column of ``docs``; at most ``rows`` ids of each label.
+
+    Every label is learned. Where ``rows`` of each would be more than ``MAX_ROWS``, each has an equal share of that, one id at least.
+    """
     ids = docs.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.col("text").isNotNull() & keep).groupBy("doc_id").agg(F.max(label).alias("_label"))
     # a label's ids are thinned by their hashes to some four times what is asked for before they meet in one task
-    counts = ids.groupBy("_label").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_label").limit(MAX_LABELS)
+    counts = cut(ids.groupBy("_label").agg(F.count(F.lit(1)).alias("_n")))
+    n_labels = counts.count()
+    rows = min(rows, max(1, MAX_ROWS // max(1, n_labels)))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
     order = Window.partitionBy("_label").orderBy(share, "doc_id")
     chosen = (
-        ids.join(counts, "_label")
+        ids.join(F.broadcast(counts) if n_labels <= BROADCAST_LABELS else counts, "_label")
         .where(share * F.col("_n") < 4 * rows + 100)
         .withColumn("_at", F.row_number().over(order))
         .where(F.col("_at") <= rows)

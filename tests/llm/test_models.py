@@ -98,3 +98,14 @@ def test_training_rows_are_bounded_and_repeatable(spark):
     one = _fit.labelled(docs, marks, "toxic", _fit.remainder(4) != 2, 30)
     assert len(one) == 30 and one == _fit.labelled(docs.repartition(7), marks.repartition(3), "toxic", _fit.remainder(4) != 2, 30)
     assert len(_fit.labelled_by(docs.unionByName(docs), "lang", F.lit(True), 5)) == 5 * docs.where("lang is not null").select("lang").distinct().count()
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    rows = [(i, f"text {i} of words", f"l{i % 90:02d}") for i in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names = sorted({y for _, _, y in rows})
+    assert language.train(docs).tags == names
+    for bound, each in ((_fit.MAX_ROWS, 5), (270, 3), (10, 1)):
+        monkeypatch.setattr(_fit, "MAX_ROWS", bound)
+        got = [y for _, y in _fit.labelled_by(docs, "lang", F.lit(True), 200)]
+        assert sorted(got) == sorted(names * each)
