@@ -48,10 +48,30 @@ class Crf:
     extra: dict = field(default_factory=dict)
 
 
-def chain(buf: np.ndarray, off: np.ndarray, affixes: tuple[tuple[str, int], ...]) -> Chain:
-    """Sequences of the lower-cased words; marks at a word's ends are not part of its features."""
+def pieces(buf: np.ndarray, start: np.ndarray, end: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the words cut into even pieces of at most ``longest`` bytes (4 at least), between characters, and each one's word."""
+    size = end - start
+    many = np.where(size > longest, -(-size // (longest - 3)), 1)
+    word = np.repeat(np.arange(len(start)), many)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many)
+    cut = start[word] + at * size[word] // many[word]
+    for _ in range(3):  # a character has at most three bytes after its first
+        cut -= (at > 0) & ((buf[cut] & 0xC0) == 0x80)
+    after = np.append(cut[1:], 0)
+    after[at == many[word] - 1] = end
+    return cut, after, word
+
+
+def chain(buf: np.ndarray, off: np.ndarray, affixes: tuple[tuple[str, int], ...], longest: int | None = None) -> Chain:
+    """Sequences of the lower-cased words; marks at a word's ends are not part of its features.
+
+    With ``longest``, longer words stand as several, in pieces of at most so many bytes.
+    """
     low = _text.LOWER[buf]
     start, end, row = _text.words(low, off)
+    if longest is not None and len(start):
+        start, end, word = pieces(low, start, end, longest)
+        row = row[word]
     n = len(start)
     if n == 0:
         none = np.zeros(0, np.int64)

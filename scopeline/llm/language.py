@@ -1,7 +1,9 @@
 """Language of each word in code-switched text by a linear-chain conditional random field.
 
 A word's features are its form (the lexicon), prefixes and suffixes, and the
-runs of three bytes after its first, second and third; learned transitions say how readily neighbours change
+runs of three bytes after its first, second and third; they cover ``LONGEST`` bytes,
+and a longer run without spaces stands as several words, in even pieces, so all of
+a text counts. Learned transitions say how readily neighbours change
 language. Training text is whole documents of one language, cut into sentences,
 and sequences that splice sentences of two languages, so that transitions are
 learned from switches too. Forward-backward gives each word's language
@@ -22,6 +24,8 @@ from . import _crf, _fit, _text
 #: Documents of each language that a fit uses at most.
 TRAIN_ROWS = 200
 AFFIXES = (("prefix", 2), ("prefix", 3), ("suffix", 2), ("suffix", 3), ("suffix", 4), ("inner", 1), ("inner", 2), ("inner", 3))
+#: Bytes of a word that the affixes cover: six from its start, four from its end.
+LONGEST = 10
 NONE = "und"
 _ASCII_LETTER = np.zeros(256, dtype=bool)
 _ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -52,7 +56,7 @@ def fit(pairs: list[tuple[str, str]]) -> _crf.Crf:
     """Model of (text, language) pairs; without pairs nothing is ever recognised."""
     tags = sorted({y for _, y in pairs})
     buf, off = _fit.joined([t for t, _ in pairs])
-    words = _crf.chain(buf, off, AFFIXES)
+    words = _crf.chain(buf, off, AFFIXES, LONGEST)
     tag = np.array([tags.index(y) for _, y in pairs], dtype=np.int64)[words.row] if pairs else np.zeros(0, np.int64)
     joined, tag = _splice(words, tag, np.random.default_rng(5))
     return _crf.fit(joined, tag, tags, epochs=3, rate=0.2)
@@ -70,7 +74,7 @@ def _lettered(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 def shares(model: _crf.Crf, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, _crf.Chain]:
     """Each row's share of every language, each word's marginals, and the words."""
     rows, k = len(off) - 1, len(model.tags)
-    words = _crf.chain(buf, off, AFFIXES)
+    words = _crf.chain(buf, off, AFFIXES, LONGEST)
     marginal = _crf.marginals(model, words)
     total = np.stack([np.bincount(words.row, weights=marginal[:, j], minlength=rows) for j in range(k)], axis=1) if k else np.zeros((rows, 0))
     return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-9), marginal, words

@@ -109,3 +109,27 @@ def test_every_label_is_learned(spark, monkeypatch):
         monkeypatch.setattr(_fit, "MAX_ROWS", bound)
         got = [y for _, y in _fit.labelled_by(docs, "lang", F.lit(True), 200)]
         assert sorted(got) == sorted(names * each)
+
+
+def test_all_of_a_text_without_spaces_counts():
+    draw = np.random.default_rng(3)
+    signs = {"one": "山水火木金土日月", "two": "あいうえおかきく"}
+
+    def text(lang):
+        # both languages begin and end alike
+        return "甲乙丙" + "".join(draw.choice(list(signs[lang]), 40)) + "丁戊己"
+
+    model = language.fit([(text(lang), lang) for lang in signs for _ in range(40)])
+    truth = [lang for lang in signs for _ in range(20)]
+    share, _, _ = language.shares(model, *_fit.joined([text(lang) for lang in truth]))
+    assert [model.tags[i] for i in share.argmax(axis=1)] == truth
+
+
+def test_pieces_cover_words_between_characters():
+    draw = np.random.default_rng(4)
+    words = ["".join(draw.choice(list("aé山😀-"), n)) for n in [*range(1, 40), 500]]
+    buf, off = _fit.joined(words)
+    a, b, word = _crf.pieces(buf, off[:-1], off[1:], 10)
+    cut = [buf[x:y].tobytes() for x, y in zip(a, b, strict=True)]
+    assert ["".join(c.decode() for c, w in zip(cut, word, strict=True) if w == i) for i in range(len(words))] == words
+    assert all(0 < len(c) <= 10 for c in cut) and all((word == i).sum() == 1 for i, w in enumerate(words) if len(w.encode()) <= 10)
