@@ -3,7 +3,8 @@
 Two documents link when their distinct shingles overlap by three quarters of
 their union. Links are exact. What is dealt out where:
 
-1. Documents with the same set are one; the least id stands for them.
+1. Documents with the same set are one *node*, whose number is its own even where
+   rows share an id; the least id stands for them.
 2. Blocks of documents send their distinct shingles (32 bits each) to buckets,
    which answer how many documents have each. A shingle of one document alone
    can be in no overlap, so a document takes part only if three quarters of its
@@ -11,7 +12,7 @@ their union. Links are exact. What is dealt out where:
 3. Shared shingles are ordered by frequency. Two sets that link have a shingle in
    common among the first n_shared - ceil(0.75 n) + 1 of each (the prefix), so
    documents meet over prefix shingles. Those that meet over a shingle form a
-   group around the least id among them; groups with the same least id are one
+   group around the least node among them; groups with the same least node are one
    *cell*, so a document is sent to few cells however many shingles it shares.
 4. Each cell is joined by a signature tree (``_tree``). A cell above ``CELL``
    members is split at random, its hub in each part; after the components of all
@@ -76,8 +77,9 @@ class _Block:
         kind, key, data = notes.column("kind").to_numpy(), notes.column("key").to_numpy(), notes.column("data")
         leads = set(key[kind == 0].tolist())
         keys = docs.column("_key").to_numpy()
-        # rows that share an id are told apart by their sets' digests
-        digest = {(int(key[i]), data[int(i)].as_py()) for i in np.flatnonzero(kind == 0)}
+        # rows that share an id are told apart by their sets' digests, after which a note has the set's node
+        told = [(int(key[i]), data[int(i)].as_py()) for i in np.flatnonzero(kind == 0)]
+        node = {(k, d[:16]): int.from_bytes(d[16:], "little") for k, d in told}
         buf, off = _text.flat(docs.column("text"))
         ids, sets = [], []
         for a, b, part, o in _text.chunks(buf, off):
@@ -91,9 +93,8 @@ class _Block:
             one, two = _digests(value, edge)
             for j, i in enumerate(at):
                 mark = (int(keys[i]), one[j].tobytes() + two[j].tobytes())
-                if mark in digest:
-                    digest.discard(mark)
-                    ids.append(int(keys[i]))
+                if mark in node:
+                    ids.append(node.pop(mark))
                     sets.append(value[edge[j] : edge[j + 1]])
         self.ids, self.sets = ids, sets
         every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -174,7 +175,10 @@ def _join(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
     """Links inside one part of a cell; with strays, between them and the whole part."""
     members = members.sort_by([("stray", "descending"), ("id", "ascending")])
     ids = members.column("id").to_numpy()
-    keep = np.flatnonzero(np.diff(ids, prepend=-1) != 0) if not members.column("stray")[0].as_py() else np.arange(len(ids))
+    new = np.ones(len(ids), dtype=bool)
+    if not members.column("stray")[0].as_py():
+        new[1:] = ids[1:] != ids[:-1]
+    keep = np.flatnonzero(new)
     sets = [np.frombuffer(members.column("tokens")[int(i)].as_buffer(), np.uint64) for i in keep]
     strays = int(members.column("stray").to_numpy(zero_copy_only=False)[keep].sum())
     found = _tree.links(sets, members.column("size").to_numpy()[keep], members.column("known").to_numpy()[keep], strays, PART, WHOLE)
@@ -184,7 +188,7 @@ def _join(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
 
 
 def links(kept: DataFrame, cell: int = CELL) -> DataFrame:
-    """Links (a, b) that span every class of linked sets in ``kept`` (id, size, prefix, tokens)."""
+    """Links (a, b) that span every class of linked sets in ``kept`` (id, size, prefix, tokens), a set an id."""
     token = kept.select("id", F.explode("prefix").alias("token"))
     hubs = token.groupBy("token").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "hub")
     member = cut(token.join(hubs, "token").where("id <> hub").select("hub", "id").distinct())
@@ -241,7 +245,8 @@ def classes(docs: DataFrame, cell: int = CELL) -> DataFrame:
     buckets = max(16, total // 6 // BUCKET_SHINGLES)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
     counted = cut(shingle_counts(keyed))
-    leads = cut(counted.where("n_shingles > 0").groupBy("n_shingles", "one", "two").agg(F.min("_key").alias("lead")))
+    leads = counted.where("n_shingles > 0").groupBy("n_shingles", "one", "two").agg(F.min("_key").alias("lead"))
+    leads = cut(leads.withColumn("node", F.monotonically_increasing_id()))
 
     def block(column: str):
         return F.pmod(F.xxhash64(column), F.lit(blocks))
@@ -250,7 +255,7 @@ def classes(docs: DataFrame, cell: int = CELL) -> DataFrame:
         """A long as its eight bytes, least first, as numpy writes it."""
         return F.unhex(F.concat(*(F.substring(F.lpad(F.hex(column), 16, "0"), 15 - 2 * k, 2) for k in range(8))))
 
-    notes = leads.select(block("lead").alias("block"), F.lit(0).alias("kind"), F.col("lead").alias("key"), F.concat(little("one"), little("two")).alias("data"))
+    notes = leads.select(block("lead").alias("block"), F.lit(0).alias("kind"), F.col("lead").alias("key"), F.concat(little("one"), little("two"), little("node")).alias("data"))
     dealt = keyed.withColumn("_block", block("_key"))
 
     def with_notes(more: DataFrame, run, schema: str) -> DataFrame:
@@ -260,7 +265,10 @@ def classes(docs: DataFrame, cell: int = CELL) -> DataFrame:
     answers = sent.groupBy("bucket").applyInArrow(_text.tidy(_answer), "block long, kind int, key long, data binary")
     kept = cut(with_notes(notes.unionByName(answers), _keep(buckets), "id long, size long, prefix array<long>, tokens binary"))
     label = graph.components(links(kept, cell))
-    lead_class = leads.join(label, leads["lead"] == label["id"], "left").select("n_shingles", "one", "two", F.coalesce("component", "lead").alias("class"))
+    named = cut(leads.join(label, leads["node"] == label["id"], "left").select("n_shingles", "one", "two", "lead", "component"))
+    linked = named.where("component is not null")
+    linked = linked.join(linked.groupBy("component").agg(F.min("lead").alias("class")), "component").select("n_shingles", "one", "two", "class")
+    lead_class = linked.unionByName(named.where("component is null").select("n_shingles", "one", "two", F.col("lead").alias("class")))
     out = counted.join(lead_class, ["n_shingles", "one", "two"], "left")
     return out.select(
         F.nullif("_key", F.lit(_LAST)).alias("doc_id"),

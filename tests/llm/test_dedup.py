@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scopeline.llm import _sort, _tree, graph, jaccard, suffix
@@ -43,6 +44,24 @@ def test_classes_equal_brute_force(spark, cell):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("cell", [400, 2])
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, cell):
+    draw = random.Random(11)
+    # each of 20 texts has three near copies; ids are shared by rows of other texts, null, or below zero
+    texts = [[f"w{draw.randrange(10_000)}" for _ in range(60)] for _ in range(20)]
+    firsts = [-1, 7, 7, 7, None, None, None, 8, 8, -5, -1, 9, None, 10, 11, 12, 13, 13, 14, 15]
+    rows = [(i, " ".join(t)) for i, t in zip(firsts, texts, strict=True)]
+    rows += [(100 + 3 * k + j, " ".join([*t[: 57 - j], "new", str(k), str(j)])) for k, t in enumerate(texts) for j in range(3)]
+    got = sorted((cases.near(r.doc_id), r.n_shingles, cases.near(r.component_id)) for r in jaccard.classes(cases.table(spark, rows), cell).collect())
+    assert got == brute_classes(rows) and len({c for _, _, c in got}) < len(texts)
+
+
+def test_the_least_id_of_a_cell_may_be_minus_one():
+    tokens = np.arange(20, dtype=np.uint64).tobytes()
+    members = pa.table({"id": [-1, 3], "size": [20, 20], "tokens": [tokens, tokens], "stray": [False, False], "known": [-1, 3]})
+    assert {frozenset(r.values()) for r in jaccard._join((), members).to_pylist()} == {frozenset([-1, 3])}
+
+
 def test_classes_of_an_empty_table(spark):
     assert jaccard.classes(cases.empty(spark)).count() == 0
 
