@@ -66,7 +66,29 @@ def chain(buf: np.ndarray, off: np.ndarray, affixes: tuple[tuple[str, int], ...]
     """Sequences of the lower-cased words; marks at a word's ends are not part of its features.
 
     With ``longest``, longer words stand as several, in pieces of at most so many bytes.
+    The texts are worked on a chunk at a time, so that little but the result is held.
     """
+    parts, words = [], 0
+    for first, _, b, o in _text.chunks(buf, off):
+        part = _chain(b, o, affixes, longest)
+        part.row += first
+        part.start += off[first]
+        part.end += off[first]
+        part.first += words
+        words += len(part.row)
+        parts.append(part)
+    if len(parts) == 1:
+        return parts[0]
+    none = np.zeros(0, np.int64)
+
+    def every(of) -> np.ndarray:
+        return np.concatenate([none, *(of(p) for p in parts)])
+
+    feature = [np.concatenate([none.astype(np.int32), *(p.feature[k] for p in parts)]) for k in range(len(affixes) + 1)]
+    return Chain(every(lambda p: p.row), every(lambda p: p.start), every(lambda p: p.end), feature, every(lambda p: p.first), every(lambda p: p.length))
+
+
+def _chain(buf: np.ndarray, off: np.ndarray, affixes: tuple[tuple[str, int], ...], longest: int | None) -> Chain:
     low = _text.LOWER[buf]
     start, end, row = _text.words(low, off)
     if longest is not None and len(start):
@@ -75,7 +97,7 @@ def chain(buf: np.ndarray, off: np.ndarray, affixes: tuple[tuple[str, int], ...]
     n = len(start)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Chain(none, none, none, [none for _ in range(len(affixes) + 1)], none, none)
+        return Chain(none.copy(), none.copy(), none.copy(), [none.astype(np.int32) for _ in range(len(affixes) + 1)], none.copy(), none.copy())
     new = np.ones(n, dtype=bool)
     new[1:] = (row[1:] != row[:-1]) | _STOP[low[end[:-1] - 1]]
     at = np.arange(n)
@@ -97,7 +119,7 @@ def chain(buf: np.ndarray, off: np.ndarray, affixes: tuple[tuple[str, int], ...]
             b = right if side == "suffix" else np.minimum(right, left + k)
             salt = k * 2 + (side == "suffix")
         feature.append(_text.mix(_text.between(run, a, b) + np.uint64(salt)) >> shift)
-    return Chain(row, left, right, [f.astype(np.int64) for f in feature], first, length)
+    return Chain(row, left, right, [f.astype(np.int32) for f in feature], first, length)
 
 
 def potentials(model: Crf, words: Chain) -> np.ndarray:

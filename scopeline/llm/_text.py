@@ -15,6 +15,9 @@ import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
 CHUNK_BYTES = 1 << 19
+#: Bytes whose powers are kept; those of a longer text are put together from two.
+TILE_BITS = 17
+TILE = 1 << TILE_BITS
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 #: Inverse of _MUL modulo 2**64.
@@ -96,28 +99,46 @@ def chunks(buf: np.ndarray, off: np.ndarray, size: int = CHUNK_BYTES) -> Iterato
         row = end
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n + 1:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        up = np.full(size, _MUL, dtype=np.uint64)
-        down = np.full(size, _INV, dtype=np.uint64)
+def _power(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of ``_MUL`` and of its inverse up to ``TILE``, and of the inverse at every ``TILE``-th place up to ``n``."""
+    if "up" not in _powers:
+        up, down = np.full(TILE, _MUL, dtype=np.uint64), np.full(TILE, _INV, dtype=np.uint64)
         up[0] = down[0] = 1
-        _powers["up"], _powers["down"] = np.cumprod(up), np.cumprod(down)
-    return _powers["up"], _powers["down"]
+        _powers["up"], _powers["down"], _powers["far"] = np.cumprod(up), np.cumprod(down), np.ones(1, np.uint64)
+    if len(_powers["far"]) < n // TILE + 1:
+        far = np.full(n // TILE + 1, np.uint64(pow(int(_INV), TILE, 1 << 64)), dtype=np.uint64)
+        far[0] = 1
+        _powers["far"] = np.cumprod(far)
+    return _powers["up"], _powers["down"], _powers["far"]
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; ``between`` turns two of its entries into a substring's hash."""
-    up, _ = _power(len(buf))
+    """Running polynomial hash; ``between`` turns two of its entries into a substring's hash.
+
+    Worked out tile by tile: beside the result it takes the same memory for any length.
+    """
+    up, _, _ = _power(len(buf))
     out = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=out[1:])
+    for i in range(0, len(buf), TILE):
+        part = buf[i : i + TILE].astype(np.uint64)
+        part += np.uint64(1)
+        part *= up[: len(part)]
+        if i:
+            part *= np.uint64(pow(int(_MUL), i, 1 << 64))
+        part[:1] += out[i : i + 1]
+        np.cumsum(part, out=out[i + 1 : i + 1 + len(part)])
     return out
 
 
 def between(run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the substrings [start, end), equal for equal bytes."""
-    _, down = _power(len(run) - 1)
-    return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
+    _, down, far = _power(len(run) - 1)
+    out = run[end] - run[start]
+    out *= down[start & (TILE - 1)]
+    if len(run) > TILE:
+        out *= far[start >> TILE_BITS]
+    out += (end - start).astype(np.uint64) * _STEP
+    return mix(out)
 
 
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

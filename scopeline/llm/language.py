@@ -82,7 +82,10 @@ def shares(model: _crf.Crf, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
 
 def train(docs: DataFrame, keep: Column | None = None, rows: int = TRAIN_ROWS) -> _crf.Crf:
     """Fits on at most ``rows`` documents of each language for which ``keep`` (a column over ``docs``) holds."""
-    return fit(_fit.unlike(_fit.labelled_by(docs, "lang", F.lit(True) if keep is None else keep, rows)))
+    try:
+        return fit(_fit.unlike(_fit.labelled_by(docs, "lang", F.lit(True) if keep is None else keep, rows)))
+    finally:
+        _text.release()
 
 
 def identify(docs: DataFrame, model: _crf.Crf, word_shares: bool = False) -> DataFrame:

@@ -112,7 +112,10 @@ def scores(model: QualityModel, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=None, rows: int = TRAIN_ROWS) -> QualityModel:
     """Fits on at most ``rows`` labelled documents for which ``keep`` (a column over ``labels``) holds."""
-    return fit(_fit.unlike(_fit.labelled(docs, labels, label, F.lit(True) if keep is None else keep, rows)))
+    try:
+        return fit(_fit.unlike(_fit.labelled(docs, labels, label, F.lit(True) if keep is None else keep, rows)))
+    finally:
+        _text.release()
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -44,7 +44,7 @@ def _token_tags(words: _crf.Chain, toxic: np.ndarray) -> np.ndarray:
     """1 for each word whose own form or prefix is a mark of toxic documents."""
     tag = np.zeros(len(words.row), dtype=np.int64)
     for f in words.feature[:3]:
-        pair = np.unique(f * len(toxic) + words.row)
+        pair = np.unique(f.astype(np.int64) * len(toxic) + words.row)
         bucket, doc = pair // len(toxic), pair % len(toxic)
         size = 1 << _crf.BITS
         of = np.bincount(bucket, weights=toxic[doc], minlength=size)
@@ -117,7 +117,10 @@ def spans(buf: np.ndarray, off: np.ndarray, words: _crf.Chain, marginal: np.ndar
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, rows: int = TRAIN_ROWS) -> _crf.Crf:
     """Fits on at most ``rows`` labelled documents for which ``keep`` (a column over ``labels``) holds."""
-    return fit(_fit.unlike(_fit.labelled(docs, labels, label, F.lit(True) if keep is None else keep, rows)))
+    try:
+        return fit(_fit.unlike(_fit.labelled(docs, labels, label, F.lit(True) if keep is None else keep, rows)))
+    finally:
+        _text.release()
 
 
 def tag(docs: DataFrame, model: _crf.Crf) -> DataFrame:
