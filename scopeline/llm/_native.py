@@ -28,3 +28,16 @@ def shingle_hashes(word: Column, width: int = 5) -> Column:
     runs = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*(F.get(word, i + k) for k in range(width))))
     none = F.array().cast("array<bigint>")
     return F.when(n >= width, runs).when(n > 0, F.array(F.xxhash64(word, n))).otherwise(none)
+
+
+def shingles(word: Column, width: int = 5) -> Column:
+    """The runs of ``width`` words as texts, a space between words; shorter texts as in ``shingle_hashes``."""
+    n = F.size(word)
+    runs = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.concat_ws(" ", *(F.get(word, i + k) for k in range(width))))
+    return F.when(n >= width, runs).when(n > 0, F.array(F.array_join(word, " "))).otherwise(F.array().cast("array<string>"))
+
+
+def shingle_hash(shingle: Column, width: int = 5) -> Column:
+    """What ``shingle_hashes`` has for a shingle that ``shingles`` gave."""
+    word = F.split(shingle, " ")
+    return F.when(F.size(word) == width, F.xxhash64(*(F.get(word, F.lit(k)) for k in range(width)))).otherwise(F.xxhash64(word, F.size(word)))

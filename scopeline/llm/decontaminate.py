@@ -3,49 +3,96 @@
 Test items are short and documents long, so Jaccard similarity says little; what
 counts is containment, the share of an item's distinct five-word shingles that a
 document has. Items are partitioned by size (powers of two of their shingle
-count). Each item's sketch holds its smallest shingle hashes, a bottom-k MinHash
+count). An item's sketch holds its smallest shingle hashes, a bottom-k MinHash
 whose k its size and the threshold give: of n shingles, n - ceil(t n) + 1. A
-document that contains at least ceil(t n) of them lacks fewer than k, so it has
-at least one shingle of the sketch: the search loses nothing. Documents with
-fewer shingles than a partition's least need skip the partition.
-
-The candidates are then verified by exact containment over all shingles of the
-item. Both steps probe a table of the items with the documents' shingles; the
-table is broadcast while its checked row count is within a bound, and joined by
-a shuffle beyond it. All of it is built-in functions inside the JVM.
+partition's *bound* is the largest hash in any sketch of it. A document's
+signature for a partition is its MinHash below that bound: all its shingle
+hashes up to it, or nothing if it has fewer shingles than the partition's least
+need. A document that contains at least ceil(t n) of an item's n shingles lacks
+fewer than k of them, so its signature meets the item's sketch: the search loses
+nothing, however long the document is.
+
+Signatures are joined with sketches in the one pass that hashes all documents.
+The pairs that meet are few and are written down; then the documents among them
+are read again and verified by the shingles themselves, not by their hashes.
+What is broadcast has a checked row count, and is joined by a shuffle beyond it.
+All of it is built-in functions inside the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import _native
 
 THRESHOLD = 0.75
-#: Item shingles up to which the items' table is broadcast (24 bytes each).
+#: Rows up to which item shingles, and ids of candidate documents, are broadcast (some 60 bytes each at most).
 BROADCAST_ROWS = 200_000
 
 
-def _hashes(table: DataFrame, key: str, as_key: str) -> DataFrame:
-    """as_key, a hash of the row's text (_row) and the array of its lower-cased shingles' hashes (_hashes)."""
-    spaced = table.select(F.col(key).alias(as_key), _native.spaced(F.lower("text")).alias("_spaced"))
-    word = spaced.select(as_key, F.xxhash64("_spaced").alias("_row"), _native.words(F.col("_spaced")).alias("_words"))
-    return word.select(as_key, "_row", _native.shingle_hashes(F.col("_words")).alias("_hashes"))
+def _worded(table: DataFrame, *keep: str | Column) -> DataFrame:
+    """``keep`` and the lower-cased words (_words) of each text."""
+    return table.select(*keep, _native.words(_native.spaced(F.lower("text"))).alias("_words"))
 
 
 def item_table(items: DataFrame, key: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each distinct shingle of an item: item_id, n_item, need, size_part, in_sketch, hash.
+    """One row for each distinct shingle of an item: item_id, n_item, need, size_part, in_sketch, hash, shingle.
 
     Rows with the same id are one item; items without words have no row.
     """
     percent = round(threshold * 100)
-    each = _hashes(items, key, "item_id").groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hashes")))).alias("_all"))
-    sized = each.select("item_id", "_all", F.size("_all").alias("n_item")).where("n_item > 0")
+    each = _worded(items, F.col(key).alias("item_id")).select("item_id", F.explode_outer(_native.shingles(F.col("_words"))).alias("shingle"))
+    each = each.where("shingle is not null").distinct().withColumn("hash", _native.shingle_hash(F.col("shingle")))
+    whole = Window.partitionBy("item_id")
+    at = F.row_number().over(whole.orderBy("hash", "shingle"))
+    sized = each.select("item_id", "shingle", "hash", F.count(F.lit(1)).over(whole).cast("int").alias("n_item"), at.alias("_at"))
     sized = sized.withColumn("need", F.ceil(F.col("n_item") * percent / 100).cast("int"))
-    sized = sized.withColumn("size_part", F.floor(F.log2("n_item")).cast("int"))
-    run = sized.select("item_id", "n_item", "need", "size_part", F.posexplode("_all").alias("_at", "hash"))
-    return run.select("item_id", "n_item", "need", "size_part", (F.col("_at") <= F.col("n_item") - F.col("need")).alias("in_sketch"), "hash")
+    part = F.floor(F.log2("n_item")).cast("int")
+    return sized.select("item_id", "n_item", "need", part.alias("size_part"), (F.col("_at") <= F.col("n_item") - F.col("need") + 1).alias("in_sketch"), "hash", "shingle")
+
+
+def bounds(table: DataFrame) -> list[tuple[int, int]]:
+    """Each size partition's least need and the largest hash of its sketches; at most one a power of two."""
+    parts = table.where("in_sketch").groupBy("size_part").agg(F.min("need").alias("need"), F.max("hash").alias("bound"))
+    return sorted((r.need, r.bound) for r in parts.collect())
+
+
+def _in_signature(parts: list[tuple[int, int]]) -> Column:
+    """Whether a shingle hash belongs to the signature of any partition that the document is large enough for."""
+    inside = F.lit(False)
+    for need, bound in parts:
+        inside = inside | ((F.col("n_doc") >= need) & (F.col("hash") <= bound))
+    return inside
+
+
+def candidates(docs: DataFrame, table: DataFrame, parts: list[tuple[int, int]], hint) -> DataFrame:
+    """doc_id, _row (a hash of the text) and item_id of each pair whose signature and sketch meet; one pass over ``docs``."""
+    hashed = _worded(docs, "doc_id", F.xxhash64("text").alias("_row")).select("doc_id", "_row", _native.shingle_hashes(F.col("_words")).alias("_hashes"))
+    # explode_outer: for explode, Spark would push a test of the array's size below the columns that build it
+    signature = hashed.select("doc_id", "_row", F.size("_hashes").alias("n_doc"), F.explode_outer("_hashes").alias("hash")).where(_in_signature(parts))
+    least = table.groupBy("size_part").agg(F.min("need").alias("part_need"))
+    sketch = table.where("in_sketch").select("item_id", "size_part", "hash").join(F.broadcast(least), "size_part")
+    met = signature.join(hint(sketch), "hash").where(F.col("n_doc") >= F.col("part_need"))
+    return met.select("doc_id", "_row", "item_id").distinct()
+
+
+def verified(docs: DataFrame, items: DataFrame, key: str = "item_id", threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, _digest (SHA-256 of the text), item_id, n_item and n_shared of each text that contains an item."""
+    table = cut(item_table(items, key, threshold))
+    hint = F.broadcast if table.count() <= broadcast_rows else (lambda df: df)
+    found = cut(candidates(docs, table, bounds(table), hint))
+    chosen = found.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_of")).distinct()
+    few = F.broadcast if chosen.count() <= broadcast_rows else (lambda df: df)
+    row = F.xxhash64("text")
+    held = docs.select("doc_id", "text", row.alias("_row")).join(few(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of")), "left_semi")
+    # repeated rows are told apart by a number, so that no text is shuffled to find them
+    worded = _worded(held, "doc_id", F.sha2(F.col("text"), 256).alias("_digest"), F.monotonically_increasing_id().alias("_at"))
+    of_doc = worded.select("doc_id", "_digest", "_at", F.explode_outer(F.array_distinct(_native.shingles(F.col("_words")))).alias("shingle"))
+    shared = of_doc.join(hint(table.select("item_id", "n_item", "need", "shingle")), "shingle")
+    counted = shared.groupBy("doc_id", "_digest", "_at", "item_id", "n_item", "need").agg(F.count(F.lit(1)).alias("n_shared")).where("n_shared >= need")
+    return counted.select("doc_id", "_digest", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_shared")
 
 
 def search(docs: DataFrame, items: DataFrame, key: str = "item_id", threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -56,40 +103,18 @@ def search(docs: DataFrame, items: DataFrame, key: str = "item_id", threshold: f
     with a null id are compared like others, under the id null. Other columns
     are ignored whatever their names. An empty table gives an empty result.
     """
-    table = item_table(items, key, threshold)
-    small = table.count() <= broadcast_rows
-    hint = F.broadcast if small else (lambda df: df)
-
-    # what the smallest item of each size partition needs; a document with fewer shingles skips the partition
-    parts = table.groupBy("size_part").agg(F.min("need").alias("part_need"))
-    sketch = table.where("in_sketch").select("item_id", "size_part", "hash").join(F.broadcast(parts), "size_part")
-    hashes = _hashes(docs, "doc_id", "doc_id")
-    # explode_outer: for explode, Spark would push a test of the array's size below the columns that build it
-    probe = hashes.select("doc_id", F.size("_hashes").alias("n_doc"), F.explode_outer("_hashes").alias("hash"))
-    candidate = (
-        probe.join(hint(sketch), "hash")
-        .where(F.col("n_doc") >= F.col("part_need"))
-        .select("doc_id", "item_id")
-        .distinct()
-    )
-
-    chosen = candidate.select(F.col("doc_id").alias("_id")).distinct()
-    held = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
-    exact = (
-        _hashes(held, "doc_id", "doc_id")
-        .select("doc_id", "_row", F.explode_outer(F.array_distinct("_hashes")).alias("hash"))
-        .join(hint(table.select("item_id", "n_item", "need", "hash")), "hash")
-        .groupBy("doc_id", "_row", "item_id", "n_item", "need")
-        .agg(F.countDistinct("hash").alias("n_shared"))
-        .where(F.col("n_shared") >= F.col("need"))
-        .groupBy("doc_id", "item_id", "n_item")
-        .agg(F.max("n_shared").alias("n_shared"))
-    )
-    pairs = exact.alias("e").join(candidate.alias("c"), F.col("e.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("e.item_id").eqNullSafe(F.col("c.item_id"))), "left_semi")
-    return pairs.select("doc_id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item"), (F.col("n_shared") / F.col("n_item")).alias("containment"))
-
-
-def remove(docs: DataFrame, items: DataFrame, key: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose document contains an item; all columns stay as they are."""
-    bad = search(docs, items, key, threshold).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+    best = verified(docs, items, key, threshold, broadcast_rows).groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
+    return best.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+def remove(docs: DataFrame, items: DataFrame, key: str = "item_id", threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the rows whose own text contains an item; all columns stay as they are.
+
+    Of rows that share an id, a null one too, only those go whose text has an
+    item. Null and empty texts stay, repeated rows go or stay together; an
+    empty table on either side leaves ``docs`` as it is.
+    """
+    bad = cut(verified(docs, items, key, threshold, broadcast_rows).select(F.col("doc_id").alias("_bad_id"), F.col("_digest").alias("_bad_text")).distinct())
+    few = F.broadcast if bad.count() <= broadcast_rows else (lambda df: df)
+    same = docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.sha2(docs["text"], 256) == F.col("_bad_text"))
+    return docs.join(few(bad), same, "left_anti")

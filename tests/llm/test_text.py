@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scopeline.llm import _text, bpe, chat, decontaminate, lm, rules
+from scopeline.llm import _native, _text, bpe, chat, decontaminate, lm, rules
 from scopeline.llm.queries import tokenizer_path
 
 from . import cases
@@ -152,12 +152,62 @@ def test_search_equals_brute_force(spark):
     got = decontaminate.search(docs, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == expected and len(got) == len(expected)
     assert {(r.doc_id, r.item_id) for r in decontaminate.search(docs, bench, broadcast_rows=0).collect()} == expected
+    def holds(t):
+        a = shingles((t or "").lower())
+        return any(b and 100 * len(a & b) >= 75 * len(b) for b in (shingles((s or "").lower()) for _, s in joined_items(items)))
+
     left = decontaminate.remove(docs, bench)
-    bad = {i for i, _ in expected}
-    assert left.columns == docs.columns and sorted(cases.near(r.doc_id) for r in left.collect()) == sorted(cases.near(i) for i, _ in rows if i not in bad)
+    clean = [(cases.near(i), t or "") for i, t in rows if not holds(t)]
+    assert left.columns == docs.columns and sorted((cases.near(r.doc_id), r.text or "") for r in left.collect()) == sorted(clean)
+    assert left.collect() and decontaminate.remove(docs, bench, broadcast_rows=0).count() == len(clean) == decontaminate.remove(docs, bench.unionByName(bench)).count()
+    assert decontaminate.remove(docs, bench.where("false")).count() == len(rows) and decontaminate.remove(cases.empty(spark), bench).count() == 0
     assert decontaminate.search(cases.empty(spark), bench).count() == 0 and decontaminate.search(docs, bench.where("false")).count() == 0
 
 
+def joined_items(items):
+    """Rows with the same id are one item; here every id is its own."""
+    assert len({k for k, _ in items}) == len(items)
+    return items
+
+
+def test_removal_judges_each_row_by_its_own_text(spark):
+    item, clean = " ".join(f"i{k}" for k in range(30)), " ".join(f"c{k}" for k in range(30))
+    docs = cases.table(spark, [(None, item), (None, clean), (4, clean), (4, "so " + item), (5, item), (5, item), (6, None), (7, "")])
+    bench = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    kept = sorted((cases.near(r.doc_id), r.text or "") for r in decontaminate.remove(docs, bench).collect())
+    assert kept == [(4, clean), (6, ""), (7, ""), (cases.near(None), clean)]
+    found = decontaminate.search(docs, bench).collect()
+    assert sorted((cases.near(r.doc_id), r.n_shared, r.n_item) for r in found) == [(4, 26, 26), (5, 26, 26), (cases.near(None), 26, 26)]
+
+
+def test_item_shingles_have_the_hashes_of_document_shingles(spark):
+    docs = cases.table(spark, cases.documents()).where("text is not null")
+    word = decontaminate._worded(docs, "text")
+    both = word.select(_native.shingle_hashes(F.col("_words")).alias("h"), F.transform(_native.shingles(F.col("_words")), lambda s: _native.shingle_hash(s)).alias("s"))
+    assert both.where("h <> s").count() == 0 and both.where("size(h) = 1").count() > 0
+
+
+def test_signatures_miss_no_pair_and_leave_most_hashes_out(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "benchmark"))
+    table = decontaminate.item_table(items).persist()
+    parts = decontaminate.bounds(table)
+    assert 0 < len(parts) < 31
+    met = {(r.doc_id, r.item_id) for r in decontaminate.candidates(docs, table, parts, F.broadcast).collect()}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.search(docs, items).collect()} <= met
+    table.unpersist()
+
+
+def test_documents_are_hashed_in_one_pass_and_never_shuffled_whole(spark, tmp_path):
+    cases.table(spark, cases.documents()).write.parquet(str(tmp_path / "d"))
+    docs, items = spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    table = decontaminate.item_table(items)
+    for plan in (decontaminate.candidates(docs, table, [(2, 0)], F.broadcast), decontaminate.verified(docs, items)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("FileScan parquet") == 1, text
+        for line in text.splitlines():
+            assert not ("Exchange hashpartitioning" in line and "text#" in line)
+
+
 # chat
 
 
