@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -56,7 +56,7 @@ def _digests(value: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def shingle_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and the set's digest (one, two) of every row, in one pass without a shuffle."""
+    """_key, the text's _digest, n_shingles and the set's digest (one, two) of every row, in one pass without a shuffle."""
 
     def run(batches):
         for batch in batches:
@@ -64,10 +64,10 @@ def shingle_counts(docs: DataFrame) -> DataFrame:
             for a, b, part, o in _text.chunks(buf, off):
                 value, edge = _sets(part, o)
                 one, two = _digests(value, edge)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(edge)), pa.array(one), pa.array(two)], ["_key", "n_shingles", "one", "two"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(edge)), pa.array(one), pa.array(two)], ["_key", "_digest", "n_shingles", "one", "two"])
             _text.release()
 
-    return docs.select("_key", "text").mapInArrow(run, "_key long, n_shingles long, one long, two long")
+    return docs.select("_key", "text", "_digest").mapInArrow(run, "_key long, _digest binary, n_shingles long, one long, two long")
 
 
 class _Block:
@@ -229,8 +229,8 @@ def _join_strays(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
     return _join(key, members)
 
 
-def classes(docs: DataFrame, cell: int = CELL) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``.
+def classes(docs: DataFrame, cell: int = CELL, digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``; with ``digest`` text_sha256 (32 bytes) too.
 
     Words are runs of bytes without ASCII white space, A-Z lower-cased; a text of
     fewer than five words is one shingle of all its words. Null texts and texts
@@ -244,7 +244,8 @@ def classes(docs: DataFrame, cell: int = CELL) -> DataFrame:
     blocks = max(32, total // BLOCK_BYTES)
     buckets = max(16, total // 6 // BUCKET_SHINGLES)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = cut(shingle_counts(keyed))
+    text_digest = F.unhex(F.sha2("text", 256)) if digest else F.lit(None).cast("binary")
+    counted = cut(shingle_counts(keyed.withColumn("_digest", text_digest)))
     leads = counted.where("n_shingles > 0").groupBy("n_shingles", "one", "two").agg(F.min("_key").alias("lead"))
     leads = cut(leads.withColumn("node", F.monotonically_increasing_id()))
 
@@ -274,4 +275,37 @@ def classes(docs: DataFrame, cell: int = CELL) -> DataFrame:
         F.nullif("_key", F.lit(_LAST)).alias("doc_id"),
         "n_shingles",
         F.nullif(F.coalesce("class", "_key"), F.lit(_LAST)).alias("component_id"),
+        *([F.col("_digest").alias("text_sha256")] if digest else []),
     )
+
+
+def representatives(docs: DataFrame, cell: int = CELL) -> DataFrame:
+    """``docs`` with one row of each class of linked documents, and every row without links; all columns stay as they are.
+
+    Of a class the row with the least id stays, of several with that id the one
+    whose text has the least SHA-256; of rows that repeat it in id and text one
+    stays. Rows that share an id are judged each by its own text. Rows with a
+    null id are in nobody's way and always stay, as do texts without words. An
+    empty table gives an empty result.
+    """
+    kept = ["_id", "_text"]
+    # null texts count as empty, and have no shingle
+    linked = classes(docs, cell, digest=True).where("n_shingles > 0 and doc_id is not null")
+    first = F.min(F.struct("doc_id", "text_sha256")).alias("first")
+    rows = cut(linked.groupBy("component_id", "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")))
+    # a class is many distinct rows, or one that repeats
+    wide = rows.groupBy("component_id").agg(first, F.sum("n").alias("many")).where("many > 1").select("component_id", "first")
+    placed = rows.join(wide, "component_id").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"), "n", (F.struct("doc_id", "text_sha256") == F.col("first")).alias("leads"))
+    placed = cut(placed)
+    gone = placed.where("not leads").select(kept)
+    again = placed.where("leads and n > 1").select(kept)
+    digest = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
+
+    def same() -> Column:
+        return (docs["doc_id"] == F.col("_id")) & (digest == F.col("_text"))
+
+    out = docs.join(gone, same(), "left_anti")
+    if again.isEmpty():
+        return out
+    once = docs.join(again, same(), "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(again, same(), "left_anti").unionByName(once)
