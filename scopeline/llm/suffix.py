@@ -283,8 +283,9 @@ def _cut(buckets: int, schema: pa.Schema):
         if len(block.value):
             block.suffixes()
             bits = np.zeros(len(block.least), np.uint32)
-            for of in np.unique(block.of):
-                bits[block.sent[block.of == of]] = np.frombuffer(block.notes[2][int(of)], np.uint32)
+            edge = np.append(np.flatnonzero(np.diff(block.of, prepend=-1)), len(block.of))
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                bits[block.sent[a:b]] = np.frombuffer(block.notes[2][int(block.of[a])], np.uint32)
             mask = np.where(block.key[block.row] > block.least[block.cell], np.uint32((1 << REACH) - 1), bits[block.cell])
             many = block.last - block.first + 1
             owner = np.repeat(np.arange(len(many)), many)
@@ -298,19 +299,25 @@ def _cut(buckets: int, schema: pa.Schema):
         runs = np.concatenate([[0], np.cumsum(out & ~before)])
         lost = np.concatenate([[0], np.cumsum(out)])
         kept_off = block.off - lost[block.off]
-        kept = _text.binary(block.buf[~out], kept_off)
+        left = block.buf[~out]
         columns = {name: docs.column(name).combine_chunks() for name in docs.column_names if not name.startswith("_") and name != "text"}
-        columns |= {"n_bytes": pa.array(size), "n_removed": pa.array(np.diff(lost[block.off])), "n_spans": pa.array(np.diff(runs[block.off])), "kept": kept}
+        columns |= {"n_bytes": pa.array(size), "n_removed": pa.array(np.diff(lost[block.off])), "n_spans": pa.array(np.diff(runs[block.off]))}
+        if "kept" in schema.names:
+            columns["kept"] = _text.binary(left, kept_off)
+        else:
+            texts = [left[a:b].tobytes().decode("utf-8", "ignore") for a, b in zip(kept_off[:-1], kept_off[1:], strict=True)]
+            columns |= {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
         return pa.table(columns).select(schema.names).cast(schema)
 
     return run
 
 
-def dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """doc_id, ``carry``, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of ``docs``.
 
-    Null texts count as empty. A null id counts as larger than all others and is
-    returned as null. Rows with the same id are judged each on its own, against
+    With ``as_text`` text and n_chars (code points) stand for kept; what is left
+    of a character cut in two goes too. Null texts count as empty. A null id
+    counts as larger than all others and is returned as null. Rows with the same id are judged each on its own, against
     smaller ids only. Texts below 50 bytes lose nothing. Columns that are not
     named in ``carry`` are ignored whatever their names; an empty table gives an
     empty result.
@@ -342,6 +349,6 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     answers = with_notes(known, _send_suffixes(buckets), sent_type).groupBy("bucket").applyInArrow(_text.tidy(_answer_suffixes), note_type)
     kinds = dict(docs.dtypes)
     names = ["doc_id", *carry]
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_bytes long, n_removed long, n_spans long, kept binary"
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_bytes long, n_removed long, n_spans long, " + ("text string, n_chars long" if as_text else "kept binary")
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
     return with_notes(known.unionByName(answers), _cut(buckets, arrow), schema)
