@@ -11,7 +11,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,47 +22,50 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.3; the model learns from labels as op8's does."""
+    """Documents whose toxicity score is below 0.3; the model learns from labels as op8's does.
+
+    Null and empty texts score as empty texts do and stay unless nearly all labels are toxic. Repeated rows and rows
+    that share an id, null or not, are judged each by its own text. Without labels nothing goes; an empty table stays empty.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), keep=_fit.remainder(4) != 2)
     return toxicity.below(docs.select(*COLUMNS), model, 0.3)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the least id, and every document without links.
+    """One row of each class of linked documents, that of the least id, and every document without links.
 
-    Rows with a null id are in no class and stay. Of rows that share the least id
-    all stay: nothing tells them apart.
+    Rows with a null id are in nobody's way and stay, as do null, empty and wordless texts. Rows that share an id are
+    judged each by its own text; of those that tie for the least id the text with the least SHA-256 stays, and of rows
+    that repeat it one. An empty table stays empty.
     """
-    rest = jaccard.classes(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(rest, docs["doc_id"] == rest["_gone"], "left_anti").select(*COLUMNS)
+    return jaccard.representatives(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeat a document of a smaller id; all rows stay.
 
-    A cut can leave part of a character at its edge; such bytes go too.
+    A cut can leave part of a character at its edge; such bytes go too. Null texts come back empty. A null id counts as
+    larger than all others; rows that share an id never cut each other, so repeated rows stay whole. An empty table
+    stays empty.
     """
-    kept = suffix.dedup(docs, carry=("lang", "source"))
-
-    def run(batches):
-        for batch in batches:
-            texts = [(b or b"").decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            columns = {n: batch.column(n) for n in ("doc_id", "lang", "source")}
-            columns |= {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([columns[n] for n in COLUMNS], COLUMNS)
-
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"{n} {'long' if n == 'n_chars' else kinds[n]}" for n in COLUMNS)
-    return kept.select("doc_id", "lang", "source", "kept").mapInArrow(run, schema)
+    out = suffix.dedup(docs.select(*COLUMNS), carry=("lang", "source"), as_text=True)
+    return out.select(*(F.col(n).cast(docs.schema[n].dataType) for n in COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item.
+
+    Rows that share an id, a null one too, are judged each by its own text; null and empty texts contain nothing and
+    stay; repeated rows go or stay together. An empty table on either side drops nothing.
+    """
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every document left."""
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every document left.
+
+    Null and empty texts have no ids; repeated rows and null ids are encoded like others; an empty table stays empty.
+    """
     return bpe.encode(docs, tokenizer_path())
 
 
