@@ -1,10 +1,18 @@
 """Byte-pair encoding through a table of distinct words, and decoding through a table of pieces.
 
-Spark splits texts into the tokenizer's words with its own regular expression
-(JVM side). For each Arrow batch the distinct words become a table, each is
-encoded once, and the ids are joined back by position. Decoding joins ids to
-the bytes of their pieces. Nothing crosses rows, so there is no shuffle, and a
-lost task only repeats its own batches.
+1. Spark splits texts into the tokenizer's words with its own regular expression
+   (JVM side) and counts the distinct words of the whole corpus, which are merged
+   inside each task before they are shuffled.
+2. Each distinct word that occurs twice or more becomes a row of the word table
+   and is encoded there, once. The table is broadcast, so its size is checked:
+   where it would be above ``TABLE_WORDS`` rows, it holds the most frequent words
+   only, those from the least power of two on with which it fits.
+3. Texts are split again, and ids are joined back by position: a word's place in
+   the table gives its ids. A word without a row, which is rare, is encoded where
+   it stands, so the result is the library's whatever the table holds.
+4. Decoding joins each id to its row of the piece table, again by position.
+
+Texts cross no shuffle, and a lost task only repeats its own batches.
 
 The tokenizer file is a parameter; byte-level BPE files of the ``tokenizers``
 library are read.
@@ -25,10 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import _text
 
 #: Words handed to the library at a time; an encoded word is much larger than its ids.
 ENCODE_WORDS = 4096
+#: Rows of the distinct-word table at most, and bytes of a word in it: the size of what is broadcast is bounded by both.
+TABLE_WORDS, WORD_BYTES = 1 << 19, 64
 #: Bytes of text in an output batch, about.
 OUT_BYTES = 4 << 20
 #: The word pattern of byte-level tokenizers, with white space as Unicode has it.
@@ -47,6 +58,19 @@ class Tokenizer:
     piece_off: np.ndarray
 
 
+@dataclass(frozen=True)
+class WordTable:
+    """Distinct words; ``ids`` holds the ids of all of them, one word after another, cut at ``off``."""
+
+    words: pa.Array
+    ids: np.ndarray
+    off: np.ndarray
+
+
+#: A table without rows: every word is encoded where it stands.
+NO_WORDS = WordTable(pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+
 def _byte_of_char() -> dict[str, int]:
     """The byte for each printable stand-in of byte-level vocabularies.
 
@@ -130,17 +154,19 @@ def _gather(value: np.ndarray, off: np.ndarray, index: np.ndarray) -> tuple[np.n
     return value[at], out
 
 
-def encode_words(tokenizer: Tokenizer, words: pa.Array, size: int = OUT_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encode_words(tokenizer: Tokenizer, words: pa.Array, known: WordTable = NO_WORDS, size: int = OUT_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of a list-of-words column: first row, end row, their ids, and offsets into them."""
-    table = words.flatten().dictionary_encode()
-    flat, flat_off = word_ids(tokenizer, table.dictionary.to_pylist())
-    index = table.indices.to_numpy(zero_copy_only=False)
     edge = words.offsets.to_numpy().astype(np.int64)
-    edge -= edge[0]
     row, rows = 0, len(words)
     while row < rows:
         end = min(max(int(np.searchsorted(edge, edge[row] + size // 6, side="right")) - 1, row + 1), rows)
-        ids, off = _gather(flat, flat_off, index[edge[row] : edge[end]])
+        here = words.slice(row, end - row).flatten().dictionary_encode()
+        row_of = pc.index_in(here.dictionary, value_set=known.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(row_of < 0)
+        ids, off = word_ids(tokenizer, here.dictionary.take(pa.array(new)).to_pylist())
+        row_of[new] = len(known.words) + np.arange(len(new))
+        flat, flat_off = np.concatenate([known.ids, ids]), np.concatenate([known.off, known.off[-1] + off[1:]])
+        ids, off = _gather(flat, flat_off, row_of[here.indices.to_numpy(zero_copy_only=False)])
         yield row, end, ids, off[edge[row : end + 1] - edge[row]]
         row = end
 
@@ -157,7 +183,36 @@ def _words(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     return docs.select(*keep, split(F.coalesce(F.col("text"), F.lit("")), added(path)).alias("_words"))
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def word_table(docs: DataFrame, path: str, rows: int = TABLE_WORDS) -> WordTable:
+    """The distinct words that occur twice or more in all texts, each encoded once; at most ``rows`` of them, the most frequent.
+
+    Words of more than ``WORD_BYTES`` bytes have no row. An empty table of documents gives an empty one.
+    """
+    word = _words(docs, path, []).select(F.explode("_words").alias("word")).where(F.octet_length("word") <= WORD_BYTES)
+    counts = cut(word.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    least, held = None, 0
+    # at most one row a power of two
+    for level, n in sorted(((r.level, r.n) for r in counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        held += n
+        if held > rows:
+            break
+        least = 1 << level
+    if least is None:
+        return NO_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = load(path)
+        for batch in batches:
+            ids, off = word_ids(tokenizer, batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _text.blobs(ids, off)], ["word", "ids"])
+
+    table = counts.where(F.col("n") >= least).select("word").mapInArrow(run, "word string, ids binary").toArrow().combine_chunks()
+    raw, off = _text.flat(table.column("ids"))
+    words = table.column("word").combine_chunks()
+    return WordTable(words.chunk(0) if isinstance(words, pa.ChunkedArray) else words, np.frombuffer(raw.tobytes(), "<u4").astype(np.uint32), off // 4)
+
+
+def encode(docs: DataFrame, path: str, table_words: int = TABLE_WORDS) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every row's whole text.
 
     Null texts count as empty and get no ids; repeated rows are each encoded;
@@ -165,11 +220,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    known = docs.sparkSession.sparkContext.broadcast(word_table(docs, path, table_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         for batch in batches:
-            for a, b, ids, off in encode_words(tokenizer, batch.column(1)):
+            for a, b, ids, off in encode_words(tokenizer, batch.column(1), known.value):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(off)), _text.blobs(ids, off)], ["doc_id", "n_tokens", "ids"])
             _text.release()
 
@@ -191,18 +247,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, table_words: int = TABLE_WORDS) -> DataFrame:
     """``encode`` and ``decode`` in one pass: doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row.
 
     The digests are of the ids as little-endian unsigned 32-bit integers and of
     the decoded text. Nulls, repeated rows and other columns as in ``encode``.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    known = docs.sparkSession.sparkContext.broadcast(word_table(docs, path, table_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         for batch in batches:
-            for a, b, ids, off in encode_words(tokenizer, batch.column(1)):
+            for a, b, ids, off in encode_words(tokenizer, batch.column(1), known.value):
                 raw = ids.astype("<u4").tobytes()
                 digest = [hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(off[:-1], off[1:], strict=True)]
                 decoded = [hashlib.sha256(t.encode()).hexdigest() for t in decode_ids(tokenizer, ids, off)]
@@ -211,8 +268,3 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     return _words(docs, path, ["doc_id"]).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-
-def to_array(ids: pa.Array) -> pa.Array:
-    """Binary ids as an Arrow list of integers."""
-    buf, off = _text.flat(ids)
-    return pa.ListArray.from_arrays(pa.array((off // 4).astype(np.int32)), pc.cast(pa.array(np.frombuffer(buf.tobytes(), "<u4")), pa.int32()))
