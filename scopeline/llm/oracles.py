@@ -86,19 +86,24 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON d = doc_id
 _CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)),
   lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda a, b: xor(a >> 1, 3988292384::UBIGINT * (a & 1::UBIGINT)))), 4294967295::UBIGINT)"""
 
+#: Three-word histories' shorter forms as in the model: a pair of words is a history of its own from 200 occurrences on.
 OP6 = f"""
 WITH d AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS.format(_LOW)}, ' ') AS ws FROM documents),
-t AS (SELECT doc_id, held_out, w, CASE WHEN i = 1 THEN '  ' ELSE ws[i - 1] END AS h
+t AS (SELECT doc_id, held_out, w, CASE WHEN i = 1 THEN '  ' ELSE ws[i - 1] END AS h, CASE WHEN i = 2 THEN '  ' WHEN i > 2 THEN ws[i - 2] END AS hh
       FROM (SELECT doc_id, held_out, ws, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d)),
 u AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
 s AS (SELECT w, c FROM u UNION ALL SELECT '  ', count(*) FROM d WHERE NOT held_out),
 n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM u),
 g AS (SELECT h, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY h, w),
-p AS (SELECT doc_id, held_out, n, coalesce(u.c, 0) AS c, (coalesce(u.c, 0) + 1) / (n + v + 1) AS p, coalesce(g.c, 0) AS two, coalesce(s.c, 0) AS held
-      FROM t CROSS JOIN n LEFT JOIN u ON t.w = u.w LEFT JOIN g ON t.h = g.h AND t.w = g.w LEFT JOIN s ON t.h = s.w)
+q AS (SELECT hh, h, w, count(*) AS c FROM t WHERE NOT held_out AND hh IS NOT NULL GROUP BY hh, h, w),
+p AS (SELECT doc_id, held_out, n, coalesce(u.c, 0) AS c, (coalesce(u.c, 0) + 1) / (n + v + 1) AS p, coalesce(g.c, 0) AS two, coalesce(s.c, 0) AS held,
+             coalesce(q.c, 0) AS three, coalesce(k.c, 0) AS pair
+      FROM t CROSS JOIN n LEFT JOIN u ON t.w = u.w LEFT JOIN g ON t.h = g.h AND t.w = g.w LEFT JOIN s ON t.h = s.w
+      LEFT JOIN q ON t.hh = q.hh AND t.h = q.h AND t.w = q.w LEFT JOIN g k ON t.hh = k.h AND t.h = k.w),
+r AS (SELECT doc_id, held_out, n, c, p, three, pair, (two + 50.0::DOUBLE * p) / (held + 50.0::DOUBLE) AS p2 FROM p)
 SELECT doc_id, held_out, count(*) AS n_tokens, count_if(c > 0) AS n_known, n AS train_tokens, sum(log10(p)) AS base_score,
-       sum(log10((two + 50.0::DOUBLE * p) / (held + 50.0::DOUBLE))) AS score
-FROM p GROUP BY doc_id, held_out, n
+       sum(log10(CASE WHEN pair >= 200 THEN (three + 50.0::DOUBLE * p2) / (pair + 50.0::DOUBLE) ELSE p2 END)) AS score
+FROM r GROUP BY doc_id, held_out, n
 """
 
 OP10 = """
