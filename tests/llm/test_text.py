@@ -7,6 +7,7 @@ import struct
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,7 +42,8 @@ def test_word_and_shingle_hashes_tell_texts_apart():
 SPECIAL = ["a  <|endoftext|>  b", "<|endoftext|><|endoftext|>", "it's 'still' x's !'s 12,3 \n\n  é中文  x \u0085y \x1c\x1d z", "😀😀 ok <|endoftext|", "  "]
 
 
-def test_bpe_equals_the_library(spark):
+@pytest.mark.parametrize("table_words", [bpe.TABLE_WORDS, 40, 0])
+def test_bpe_equals_the_library(spark, table_words):
     from tokenizers import Tokenizer
 
     path = tokenizer_path()
@@ -53,13 +55,30 @@ def test_bpe_equals_the_library(spark):
         ids = library.encode(t or "", add_special_tokens=False).ids
         text = library.decode(ids, skip_special_tokens=False)
         expected.append((cases.near(i), len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-    got = [(cases.near(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs, path).collect()]
+    got = [(cases.near(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs, path, table_words).collect()]
     assert sorted(got) == sorted(expected)
-    back = bpe.decode(bpe.encode(docs, path), path).collect()
+    back = bpe.decode(bpe.encode(docs, path, table_words), path).collect()
     assert sorted((cases.near(r.doc_id), r.text) for r in back) == sorted((cases.near(i), t or "") for i, t in rows)
     assert bpe.round_trip(cases.empty(spark), path).count() == 0
 
 
+def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
+    path = tokenizer_path()
+    docs = cases.table(spark, cases.documents())
+    table = bpe.word_table(docs, path)
+    words = [w for r in bpe._words(docs, path, []).collect() for w in r._words if len(w.encode()) <= bpe.WORD_BYTES]
+    twice = {w for w, n in Counter(words).items() if n > 1}
+    assert sorted(table.words.to_pylist()) == sorted(twice) and len(table.off) == len(twice) + 1
+    few = bpe.word_table(docs, path, 40)
+    assert 0 < len(few.words) <= 40 and min(Counter(words)[w] for w in few.words.to_pylist()) >= max(n for w, n in Counter(words).items() if w not in set(few.words.to_pylist())) / 2
+    seen = []
+    whole = bpe.word_ids
+    monkeypatch.setattr(bpe, "word_ids", lambda tokenizer, words: seen.extend(words) or whole(tokenizer, words))
+    column = pa.array([r._words for r in bpe._words(docs, path, []).collect()], pa.list_(pa.string()))
+    list(bpe.encode_words(bpe.load(path), column, table))
+    assert not set(seen) & twice and len(seen) == len(set(seen))
+
+
 def test_bpe_refuses_other_tokenizers():
     with pytest.raises(ValueError):
         bpe.added(tokenizer_path("word_bpe_49k.json"))
@@ -68,36 +87,77 @@ def test_bpe_refuses_other_tokenizers():
 # language model
 
 
-def test_lm_equals_brute_force(spark):
-    rows = cases.documents()
-    learn = F.col("doc_id") % 7 != 2
+def lm_tokens(t):
+    return [*words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None]
 
-    def tokens(t):
-        return [*words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None]
 
-    train = [tokens(t) for i, t in rows if i is None or i % 7 != 2]
-    one, two, starts = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([0, *t[:-1]], t, strict=True)), len(train)
+@pytest.mark.parametrize("state_count", [1, 4, lm.STATE_COUNT])
+def test_lm_equals_brute_force(spark, state_count):
+    rows = cases.documents()
+    learn = F.col("doc_id") % 7 != 2
+    train = [lm_tokens(t) for i, t in rows if i is None or i % 7 != 2]
+    one, starts = Counter(w for t in train for w in t), len(train)
+    two = Counter(p for t in train for p in zip([0, *t[:-1]], t, strict=True))
+    three = Counter(p for t in train for p in zip([0, *t[:-2]], t[:-1], t[1:], strict=False))
     n, v, b = sum(one.values()), len(one), lm.STRENGTH
     expected = []
     for i, t in rows:
-        token, base, score = tokens(t), 0.0, 0.0
-        for h, w in zip([0, *token[:-1]], token, strict=True):
+        token, base, score = lm_tokens(t), 0.0, 0.0
+        for at, w in enumerate(token):
+            h = token[at - 1] if at else 0
             p = (one[w] + 1) / (n + v + 1)
             base += math.log10(p)
             held = starts if h == 0 else one[h]
-            score += math.log10((two[h, w] + b * p) / (held + b))
+            p = (two[h, w] + b * p) / (held + b)
+            hh = None if at == 0 else 0 if at == 1 else token[at - 2]
+            if at and two[hh, h] >= state_count:
+                p = (three[hh, h, w] + b * p) / (two[hh, h] + b)
+            score += math.log10(p)
         expected.append((cases.near(i), len(token), sum(one[w] > 0 for w in token), n, round(base, 6), round(score, 6)))
-    got = lm.score(cases.table(spark, rows), learn).collect()
+    got = lm.score(cases.table(spark, rows), learn, state_count).collect()
     assert sorted((cases.near(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(expected)
     assert lm.score(cases.empty(spark), F.lit(True)).count() == 0
 
 
-def test_lm_probabilities_sum_to_one():
-    root = np.log10(np.array([0.5, 0.3, 0.2]))
-    arc = np.array([4, 0, 1])
-    model = lm.Automaton(root, np.array([5]), arc)
-    each = model.walk(np.arange(3), np.zeros(3, np.int64), np.arange(3), np.arange(4))
-    assert (10**each).sum() == pytest.approx(1)
+def small_automaton(texts, state_count):
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    own = lm._Block(pa.table({"text": texts, "_learn": [True] * len(texts)}))
+    words, pairs = own.distinct(own.text.word)[1], own.distinct(own.text.pair)[1]
+    triples = own.triples(pairs, state_count)[1]
+    assert len(off) == len(own.text.edge)
+    return own.text, words, lm.automaton(own.text, words, pairs, triples, int(words.count.sum()), len(words.count), len(texts), state_count)
+
+
+def test_lm_states_sum_to_one_and_lanes_carry_the_state():
+    draw = random.Random(8)
+    texts = [" ".join(draw.choice("abcdefg") for _ in range(draw.choice([0, 1, 2, 3, 70, 200]))) for _ in range(40)]
+    text, words, model = small_automaton(texts, 3)
+    assert len(model.fail) > model.start + 20
+    # every state's words, and one that was never learned, whose arc is the root's last
+    model.root = np.append(model.root, np.log10(1 / (words.count.sum() + len(words.count) + 1)))
+    model.root_to = np.append(model.root_to, 0)
+    every = np.arange(len(model.root))
+    end = words.place[text.edge[1] - 1]
+    for state in (i for i in range(len(model.fail)) if i != end + 1):
+        _, weight = model.step(np.full(len(every), state), every)
+        assert (10**weight).sum() == pytest.approx(1)
+    # one lane a text, token by token, from the start
+    out, state = model.walk(words.place, text.first), 0
+    for t, (w, first) in enumerate(zip(words.place, text.first, strict=True)):
+        to, weight = model.step(np.array([model.start if first else state]), np.array([w]))
+        state = to[0]
+        assert out[t] == pytest.approx(weight[0])
+
+
+def test_lm_messages_keep_whole_keys():
+    draw = np.random.default_rng(4)
+    for n in (0, 1, 2, 1000, 300_000):
+        key = np.unique(draw.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (lm._unpack(pa.py_buffer(lm._pack(key))) == key).all()
+    assert len(lm._pack(key)) < 6.5 * len(key)
+    many = draw.integers(0, 600, 1000)
+    assert (lm._large(pa.py_buffer(lm._small(many)), 1000) == many).all()
 
 
 # quality rules
@@ -134,6 +194,33 @@ def test_cascade_order_follows_rejection_and_changes_no_verdict(spark):
     assert rules.cascade(docs, [], []).where("kept").count() == 1000
 
 
+def test_a_late_rule_is_not_evaluated_for_an_early_rejection(spark):
+    docs = cases.table(spark, [(1, "few words"), (2, "é"), (3, None)])
+
+    def some(of):
+        return [rules.Rule("late", F.when(of("n_upper") >= 0, F.raise_error(F.lit("reached"))).cast("boolean")), rules.Rule("few_words", of("n_words") < 10)]
+
+    for counts in (True, False):
+        early = rules.judge(docs, some, counts, order=["few_words", "late"]).collect()
+        assert {(r.kept, r.failed_rule) for r in early} == {(False, "few_words")}
+        with pytest.raises(Exception, match="reached"):
+            rules.judge(docs, some, counts, order=["late", "few_words"]).collect()
+
+
+def test_the_order_is_measured_on_a_random_sample_and_repeats(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    few = rules.random_rows(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10_000_000)), 400)
+    ids = [r.doc_id for r in few.select("doc_id").collect()]
+    assert 300 < len(ids) < 500 and 0.3 < np.mean([i > 10_000_000 for i in ids]) < 0.7
+    assert rules.random_rows(docs, 10**9).count() == docs.count()
+    costly = rules.repeated_words(F.col("_words"))
+    sample = rules.measured(docs, ["doc_id"]).persist()
+    # two rules that reject the same, one of them dear, and one that rejects less
+    some = [rules.Rule("dear", (costly >= 0) & (F.length("_text") > 200)), rules.Rule("cheap", F.length("_text") > 200), rules.Rule("idle", F.lit(False))]
+    assert [rules.ordered(sample, some) for _ in range(2)] == [["cheap", "dear", "idle"]] * 2
+    sample.unpersist()
+
+
 # decontamination
 
 
