@@ -1,15 +1,20 @@
-"""Command line: ``python -m scopeline monitor|geometry OBSERVATIONS OUT [options]``.
+"""Command line: ``python -m scopeline monitor|geometry|summary OBSERVATIONS OUT [options]``,
+``python -m scopeline recording PIXELS OUT --recordings RECORDINGS`` and ``frames PIXELS OUT``.
 
-OBSERVATIONS is Parquet with recording_id, frame_id, t and box; OUT must not exist.
+OBSERVATIONS is Parquet with recording_id, frame_id, t and box; PIXELS with
+recording_id, frame_index, y, x, cls, gray, b, g and r; RECORDINGS with
+recording_id, n_frames and fps. OUT must not exist.
 """
 
 from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import functions as F
+
 from .functions import fixed
 from .operators import evidence, session
-from .plans.pipelines import monitor_records
+from .plans.pipelines import analyze_frames, analyze_recordings, monitor_records
 from .session import local_session
 from .sources import sinks
 
@@ -18,15 +23,20 @@ CAVEAT = "A null box means that no box could be vouched for; see reason."
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="scopeline", description=__doc__)
-    parser.add_argument("action", choices=("monitor", "geometry", "summary"))
-    parser.add_argument("observations")
+    parser.add_argument("action", choices=("monitor", "geometry", "summary", "recording", "frames"))
+    parser.add_argument("observations", help="observations, or pixels for recording and frames")
     parser.add_argument("out")
     parser.add_argument("--monitor-hz", type=float, default=fixed.MONITOR_HZ)
     parser.add_argument("--method", choices=fixed.METHODS, default="median")
     parser.add_argument("--width", type=int, default=1280)
     parser.add_argument("--height", type=int, default=720)
     parser.add_argument("--no-pip", action="store_true", help="leave the monitor out of the summary")
+    parser.add_argument("--recordings", help="with recording: the recordings' frame counts and rates")
+    parser.add_argument("--min-area", type=int, default=fixed.MIN_COMPONENT, help="least pixels of a popup")
+    parser.add_argument("--min-rim", type=int, default=fixed.MIN_RIM, help="least rim of a popup's repair")
     given = parser.parse_args(args)
+    if given.action == "recording" and not given.recordings:
+        parser.error("recording needs --recordings")
     if given.monitor_hz <= 0:
         parser.error("--monitor-hz must be positive")
     spark = local_session()
@@ -35,9 +45,16 @@ def main(args: list[str] | None = None) -> int:
     if given.action == "monitor":
         sinks.write_jsonl(monitor_records(rows, 1.0 / given.monitor_hz, *common), given.out)
     elif given.action == "geometry":
-        sinks.write_summary(evidence.geometry(rows, given.method, given.width, given.height), given.out, "ok", CAVEAT)
+        sinks.write_summary(evidence.geometry(rows, given.method, given.width, given.height), given.out, CAVEAT, F.when(F.col("reason") == fixed.OK, "ok").otherwise("unavailable"))
+    elif given.action == "summary":
+        sinks.write_summary(session.summary(rows, 1.0 / given.monitor_hz, *common, enabled=not given.no_pip), given.out, CAVEAT, F.when(F.col("box").isNotNull(), "ok").otherwise("unavailable"))
+    elif given.action == "frames":
+        sinks.write_frames(analyze_frames(rows, given.width, given.height, given.min_area, given.min_rim), given.out)
     else:
-        sinks.write_summary(session.summary(rows, 1.0 / given.monitor_hz, *common, enabled=not given.no_pip), given.out, "ok", CAVEAT)
+        found = analyze_recordings(spark.read.parquet(given.recordings), rows, given.width, given.height, given.monitor_hz, given.method, not given.no_pip, min_area=given.min_area, min_rim=given.min_rim)
+        sinks.write_summary(found.result, f"{given.out}/sessions", CAVEAT)
+        if not given.no_pip:
+            sinks.write_jsonl(found.records, f"{given.out}/records")
     return 0
 
 

@@ -39,13 +39,17 @@ def rounded(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return box(a, b, F.greatest(c, a + 1), F.greatest(d, b + 1))
 
 
-def reason(coords: Column, width: Column, height: Column, min_side: int = fixed.MIN_SIDE) -> Column:
-    """Why an array of doubles is no legal box of a frame, or ``valid``: the first check that fails."""
+def reason(coords: Column, width: Column, height: Column, min_side: int = fixed.MIN_SIDE, expected: tuple[Column, Column] | None = None) -> Column:
+    """Why an array of doubles is no legal box of a frame, or ``valid``: the first check that fails.
+
+    ``expected`` is the frame size that the box was made for; a null there is not checked.
+    """
+    other = F.lit(False) if expected is None else F.coalesce((expected[0] != width) | (expected[1] != height), F.lit(False))
     x1, y1, x2, y2 = (F.get(coords, i) for i in range(4))
     odd = F.exists(coords, lambda c: F.isnan(c) | (F.abs(c) == float("inf")))
     part = F.exists(coords, lambda c: c != F.floor(c))
     return (
-        F.when((width <= 0) | (height <= 0), fixed.MISMATCH)
+        F.when((width <= 0) | (height <= 0) | other, fixed.MISMATCH)
         .when(coords.isNull() | (F.size(coords) != 4), fixed.NOT_FOUR)
         .when(F.exists(coords, lambda c: c.isNull()), fixed.NON_INTEGER)
         .when(odd, fixed.NON_FINITE)

@@ -175,9 +175,9 @@ def bootstrap_boxes(held: list[Box], resamples: int = 1000, block: int = 3, meth
     return out
 
 
-def box_reason(box: Box | None, width: int, height: int) -> str:
-    """``valid``, or the first reason why not, for a box of integers."""
-    if width <= 0 or height <= 0:
+def box_reason(box: Box | None, width: int, height: int, expected: tuple[int, int] | None = None) -> str:
+    """``valid``, or the first reason why not, for a box of integers made for frames of the ``expected`` size."""
+    if width <= 0 or height <= 0 or expected not in (None, (width, height)):
         return fixed.MISMATCH
     if box is None or len(box) != 4:
         return fixed.NOT_FOUR
@@ -285,17 +285,17 @@ def inscribed(mask: np.ndarray, aspect: float = fixed.ASPECT) -> Box | None:
     if not mask.any():
         return None
     height, width = mask.shape
-    bad = np.zeros((height + 1, width + 1), dtype=np.int64)
-    bad[1:, 1:] = (mask == 0).cumsum(axis=0).cumsum(axis=1)
+    on = np.pad((mask > 0).astype(np.int64).cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
 
     def corners(cx: float, cy: float, half: int) -> Box:
         return round(cx - aspect * half), round(cy - half), round(cx + aspect * half), round(cy + half)
 
     def inside(cx: float, cy: float, half: int) -> bool:
-        x1, y1, x2, y2 = corners(cx, cy, half)
-        if x1 < 0 or y1 < 0 or x2 > width or y2 > height or x2 <= x1 or y2 <= y1:
-            return False
-        return bad[y2, x2] - bad[y1, x2] - bad[y2, x1] + bad[y1, x1] == 0
+        box = corners(cx, cy, half)
+        # what the frame cuts off holds no pixel, so a box that leaves it is never full
+        (a, c), (b, d) = np.clip(box[::2], 0, width), np.clip(box[1::2], 0, height)
+        held = np.diff(np.diff(on[np.ix_([b, d], [a, c])], axis=0), axis=1).item()
+        return 0 < held == area(box)
 
     def half_at(cx: float, cy: float) -> int:
         best, below, above = 0, 0, int(min(cy, height - cy, cx / aspect, (width - cx) / aspect))

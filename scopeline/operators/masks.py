@@ -43,7 +43,7 @@ def frame_features(frames: DataFrame) -> DataFrame:
     return frames.selectExpr(*_LONG, "width", "height", "pixels").mapInArrow(run, "recording_id long, frame_index long, dynamic_range double, crushed double, saturated double, gradient double")
 
 
-def inadmissible(row: dict[str, float] | None = None) -> Column:
+def inadmissible() -> Column:
     """Why a frame is not used for calibration, or null: the first check that fails, with its value."""
     low, crushed, bright, flat = (F.col(c) for c in ("dynamic_range", "crushed", "saturated", "gradient"))
     return (
@@ -73,8 +73,7 @@ def agreement(pixels: DataFrame, share: float = fixed.AGREEMENT) -> DataFrame:
     Partial sums go out once a pixel position and task, so the shuffle has the
     frame's size, not the recording's length.
     """
-    if not 0 < share <= 1:
-        raise ValueError("the agreement must be in (0, 1]")
+    _share("share", share, False)
     votes = pixels.groupBy("recording_id", "y", "x").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cls") == fixed.TISSUE).alias("n_tissue"), F.count_if(F.col("cls").isin(fixed.TISSUE, fixed.CORNER)).alias("n_view"))
     return votes.select("recording_id", "y", "x", "n", "n_tissue", "n_view", (F.col("n_tissue") / F.col("n") >= share).alias("tissue"), (F.col("n_view") / F.col("n") >= share).alias("view"))
 
@@ -85,6 +84,7 @@ def run_agreement(runs: DataFrame, masks: DataFrame, classes: tuple[int, ...], s
     ``masks`` has one row a mask, so that masks without a run count too. A row of
     pixels costs its runs, not its width.
     """
+    _share("share", share, False)
     from pyspark.sql import Window
 
     counts = masks.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_masks"))
@@ -97,6 +97,8 @@ def run_agreement(runs: DataFrame, masks: DataFrame, classes: tuple[int, ...], s
 
 def popup_presence(pixels: DataFrame, frame_pixels: int, detector: bool = True, min_share: float = fixed.MIN_POPUP_SHARE, min_frames: float = fixed.MIN_POPUP_FRAMES) -> DataFrame:
     """Frames that show a popup in each recording, and whether the recording does."""
+    _share("min_share", min_share, True)
+    _share("min_frames", min_frames, True)
     need = max(1.0, min_share * frame_pixels)
     each = pixels.groupBy(*FRAME).agg(F.count_if(F.col("cls") == fixed.POPUP).alias("n"))
     out = each.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_frames"), F.count_if(F.col("n") >= need).alias("popup_frames"))
@@ -157,6 +159,12 @@ def routing(pixels: DataFrame, candidates: DataFrame, width: int, height: int, m
     return out.select(*FRAME, (reason == fixed.OK).alias("routed"), reason.alias("reason"), F.coalesce(most, F.lit(0.0)).alias("support"), F.coalesce("tissue", F.lit(0.0)).alias("tissue"), F.coalesce("warm", F.lit(0.0)).alias("warm"))
 
 
+def _share(name: str, value: float, zero: bool) -> None:
+    """Refuses what is no share: from 0 if ``zero``, else above it, up to 1."""
+    if not (0 <= value <= 1 and (zero or value > 0)):
+        raise ValueError(f"{name} must be {'from 0' if zero else 'above 0, up'} to 1, not {value}")
+
+
 _BOX = pa.struct([(s, pa.int32()) for s in boxes.SIDES])
 
 
@@ -180,8 +188,33 @@ def clean_masks(votes: DataFrame, width: int, height: int, flag: str = "tissue")
     return votes.select("recording_id", "y", "x", flag).groupBy("recording_id").applyInArrow(run, "recording_id long, y int, x int")
 
 
-def crop_choices(votes: DataFrame, presence: DataFrame, width: int, height: int, aspect: float = fixed.ASPECT, min_inner: float | None = None, detector: bool = True) -> DataFrame:
-    """Inner and full boxes of each recording with preserved shares and review reasons, or null boxes with the reason."""
+def mixed_sizes(pixels: DataFrame) -> DataFrame:
+    """Recordings whose masks differ in size: their pixels cannot vote together."""
+    size = pixels.groupBy(*FRAME).agg(F.max("x").alias("w"), F.max("y").alias("h"))
+    return size.groupBy("recording_id").agg(F.min("w").alias("w0"), F.max("w").alias("w1"), F.min("h").alias("h0"), F.max("h").alias("h1")).where("w0 < w1 or h0 < h1").select("recording_id")
+
+
+def crop_choices(
+    votes: DataFrame,
+    presence: DataFrame,
+    width: int,
+    height: int,
+    aspect: float = fixed.ASPECT,
+    min_inner: float | None = None,
+    detector: bool = True,
+    popup_mask_reliable: bool = False,
+    popup_mask_reason: str = "",
+) -> DataFrame:
+    """Inner and full boxes of each recording with preserved shares and review reasons, or null boxes with the reason.
+
+    ``presence`` has a row for every recording with masks; one without votes has
+    none to show. ``popup_mask_reliable`` asserts that the popup masks can be
+    trusted, which needs a ``detector``.
+    """
+    if popup_mask_reliable and not detector:
+        raise ValueError("popup masks cannot be reliable without a class for popups")
+    if min_inner is not None:
+        _share("min_inner", min_inner, True)
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         tissue, view = (kernels.clean(_grid(rows, c, height, width)) for c in ("tissue", "view"))
@@ -205,7 +238,10 @@ def crop_choices(votes: DataFrame, presence: DataFrame, width: int, height: int,
 
     schema = f"recording_id long, inner_box {boxes.BOX}, full_box {boxes.BOX}, inner_tissue double, full_tissue double, inner_view double, full_view double, reason string"
     found = votes.select("recording_id", "y", "x", "tissue", "view").groupBy("recording_id").applyInArrow(run, schema)
-    found = found.join(presence.select("recording_id", "popup_frames", "popup_share", "popup_present"), "recording_id", "left")
+    found = presence.select("recording_id", "popup_frames", "popup_share", "popup_present").join(found, "recording_id", "full")
+    found = found.withColumn("reason", F.coalesce("reason", F.lit("no masks")))
+    trusted = popup_mask_reason or ("" if popup_mask_reliable else "raw masks: no popup footprint is asserted")
+    found = found.withColumns({"popup_mask_reliable": F.lit(popup_mask_reliable), "popup_mask_reason": F.lit(trusted)})
     if min_inner is None:
         review = F.array().cast("array<string>")
     else:

@@ -7,10 +7,12 @@ evidence window and by the rings, and turns into plain values and back.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import boxes, fixed
 from . import kernels
@@ -30,6 +32,39 @@ def representatives(held: list[tuple[str, float, Box]], bin_sec: float) -> tuple
     return [best[k][1] for k in sorted(best)], last - first
 
 
+def attempted(held: list[tuple[str, float, Box]], width: int, height: int, method: str, bin_sec: float = fixed.BIN_SEC, require_stability: bool = True) -> dict:
+    """One attempt to vouch for a box: reason (the first gate that fails, else ok) and what the gates saw.
+
+    The gates are: enough evidence, an estimate, a legal box, and halves that
+    agree. box is null unless all passed.
+    """
+    out = {"reason": fixed.INSUFFICIENT, "box": None, "n_routed": len(held), "n_bins": 0, "worst_iou": None, "worst_area_ratio": None, "cluster": ""}
+    if len(held) < fixed.MIN_ROUTED:
+        return out
+    chosen, span = representatives(held, bin_sec)
+    out["n_bins"] = len(chosen)
+    if len(chosen) < fixed.MIN_BINS or span < fixed.MIN_SPAN:
+        return out
+    boxes_held = [o[2] for o in chosen]
+    if method == "cluster":
+        box, out["cluster"] = kernels.cluster_box(boxes_held, width, height)
+    else:
+        box = kernels.estimate(boxes_held, method, width, height)
+    if box is None:
+        return out | {"reason": fixed.AMBIGUOUS if method == "cluster" else fixed.INSUFFICIENT}
+    legal = kernels.box_reason(box, width, height)
+    if legal != fixed.VALID:
+        return out | {"reason": legal}
+    if require_stability:
+        scores, _ = kernels.split_scores(boxes_held, method, width, height)
+        if scores:
+            out["worst_iou"], out["worst_area_ratio"] = (min(x) for x in zip(*scores, strict=True))
+        stable, why = kernels.verdict(scores)
+        if not stable:
+            return out | {"reason": why}
+    return out | {"reason": fixed.OK, "box": box}
+
+
 @dataclass
 class Monitor:
     """State of one recording. ``step`` folds a tick in and says what it did."""
@@ -55,6 +90,9 @@ class Monitor:
     attempts: int = 0
     inferred: int = 0
     expired: int = 0
+    rejected: int = 0
+    #: The last attempt to lock: ``attempted``'s result, none before the first.
+    gate: dict | None = None
 
     def __post_init__(self) -> None:
         if not self.interval > 0:
@@ -71,7 +109,8 @@ class Monitor:
         """
         self.observed += 1
         rejected = box is not None and kernels.box_reason(box, self.width, self.height) != fixed.VALID
-        event = None
+        self.rejected += rejected
+        event, tried = None, self.attempts
         if box is None or rejected:
             self.last_positive = None
             self._steady()
@@ -80,7 +119,7 @@ class Monitor:
             self.last_positive = t
             self.ring = [*self.ring, frame][-fixed.ID_RING :]
             if self.locked is not None and self._moved(frame, t, box):
-                self.locked, self.evidence, self.drift_ring = None, [], []
+                self.locked, self.evidence, self.drift_ring, self.gate = None, [], [], None
                 self.unlocks += 1
                 self.epoch += 1
                 self._steady()
@@ -90,7 +129,7 @@ class Monitor:
                 if self.locked is None and self._attempt():
                     event = "relock" if self.unlocks else "lock"
         live, reason = self._live(t)
-        return {"frame_id": frame, "t": t, "box": live, "state": "locked" if self.locked is not None else "unlocked", "epoch": self.epoch, "event": event, "reason": reason, "rejected": rejected}
+        return {"frame_id": frame, "t": t, "box": live, "state": "locked" if self.locked is not None else "unlocked", "epoch": self.epoch, "event": event, "reason": reason, "rejected": rejected, "gate": self.gate if self.attempts > tried else None}
 
     def _steady(self) -> None:
         self.drift_count, self.drift_since = 0, None
@@ -112,20 +151,12 @@ class Monitor:
         self.evidence = [*kept, (frame, t, box)][-fixed.EVIDENCE_ROWS :]
 
     def _attempt(self) -> bool:
-        """Locks the evidence's box if there is enough of it, it is legal, and its halves agree."""
+        """Locks the evidence's box if it passes every gate; ``gate`` keeps what it found and the first gate that failed."""
         self.attempts += 1
-        if len(self.evidence) < fixed.MIN_ROUTED:
-            return False
-        chosen, span = representatives(self.evidence, self.bin_sec)
-        if len(chosen) < fixed.MIN_BINS or span < fixed.MIN_SPAN:
-            return False
-        held = [o[2] for o in chosen]
-        box = kernels.estimate(held, self.method, self.width, self.height)
-        if box is None or kernels.box_reason(box, self.width, self.height) != fixed.VALID:
+        self.gate = attempted(self.evidence, self.width, self.height, self.method, self.bin_sec, self.require_stability)
+        if self.gate["reason"] != fixed.OK:
             return False
-        if self.require_stability and not kernels.stability(held, self.method, self.width, self.height)[0]:
-            return False
-        self.locked, self.drift_ring = box, []
+        self.locked, self.drift_ring = self.gate["box"], []
         self.locks += 1
         self._steady()
         return True
@@ -143,8 +174,14 @@ class Monitor:
         return self.locked, fixed.OK
 
     def size(self) -> dict[str, int]:
-        """Rows held, all of them bounded."""
-        return {"evidence": len(self.evidence), "ring": len(self.ring), "drift_ring": len(self.drift_ring)}
+        """Rows held, all of them bounded, and the bins that the evidence falls into."""
+        bins = len(representatives(self.evidence, self.bin_sec)[0]) if self.evidence else 0
+        return {"evidence": len(self.evidence), "bins": bins, "ring": len(self.ring), "drift_ring": len(self.drift_ring)}
+
+    def manifest(self) -> dict:
+        """What the monitor is set to and has come to, without the evidence itself."""
+        held = {n: getattr(self, n) for n in ("method", "bin_sec", "require_stability", "epoch", "attempts", "locks", "unlocks", "gate")}
+        return held | {f"n_{n}": k for n, k in self.size().items()}
 
     def dump(self) -> dict:
         return asdict(self)
@@ -154,12 +191,17 @@ class Monitor:
         state = dict(state)
         state["evidence"] = [(f, t, tuple(b)) for f, t, b in state["evidence"]]
         state["locked"] = tuple(state["locked"]) if state["locked"] else None
+        if state["gate"] and state["gate"]["box"]:
+            state["gate"] = state["gate"] | {"box": tuple(state["gate"]["box"])}
         return cls(**state)
 
 
 BOX_TYPE = pa.struct([(s, pa.int32()) for s in boxes.SIDES])
 RECORD = f"recording_id long, frame_id string, t double, box {boxes.BOX}, state string, epoch int, event string, reason string"
-SUMMARY = f"recording_id long, n_monitored long, n_routed long, n_locks long, n_unlocks long, n_rejected long, n_inferred long, n_expired long, epoch int, box {boxes.BOX}, reason string"
+SUMMARY = (
+    f"recording_id long, n_monitored long, n_routed long, n_locks long, n_unlocks long, n_rejected long, n_inferred long, n_expired long, epoch int, box {boxes.BOX}, reason string, "
+    "n_attempts long, gate_reason string, gate_bins int, gate_iou double, gate_area_ratio double, gate_cluster string"
+)
 
 
 def _struct(box: Box | None) -> dict | None:
@@ -170,17 +212,30 @@ def _tuple(box: dict | None) -> Box | None:
     return None if box is None else tuple(box[s] for s in boxes.SIDES)
 
 
-def fold(observations: DataFrame, interval: float, width: int, height: int, method: str = "median", bin_sec: float = fixed.BIN_SEC) -> DataFrame:
+def _ticks(observations: DataFrame, interval: float | str) -> DataFrame:
+    """The columns that a fold reads; ``interval`` is a number or the column that has it."""
+    return observations.select("recording_id", "frame_id", "t", "box", (F.col(interval) if isinstance(interval, str) else F.lit(float(interval))).alias("_interval"))
+
+
+def _ordered(rows: pa.Table) -> tuple[float, Iterator[tuple[str, float, Box | None]]]:
+    """A recording's interval and its ticks in order."""
+    rows = rows.sort_by([("t", "ascending"), ("frame_id", "ascending")])
+    frame, t, box = (rows.column(n).to_pylist() for n in ("frame_id", "t", "box"))
+    return rows.column("_interval")[0].as_py(), zip(frame, t, map(_tuple, box), strict=True)
+
+
+def fold(observations: DataFrame, interval: float | str, width: int, height: int, method: str = "median", bin_sec: float = fixed.BIN_SEC) -> DataFrame:
     """The monitor's record of every tick: one shuffle by recording, then an ordered fold.
 
     Ticks of a recording are ordered by t, ties by frame id. The drift comparison
-    depends on earlier locks, so no window can express it.
+    depends on earlier locks, so no window can express it. ``interval`` is a
+    number, or the name of a column that has each recording's.
     """
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("t", "ascending"), ("frame_id", "ascending")])
-        monitor = Monitor(interval, width, height, method, bin_sec)
-        out = [monitor.step(f, t, _tuple(b)) for f, t, b in zip(rows.column("frame_id").to_pylist(), rows.column("t").to_pylist(), rows.column("box").to_pylist(), strict=True)]
+        every, ticks = _ordered(rows)
+        monitor = Monitor(every, width, height, method, bin_sec)
+        out = [monitor.step(*tick) for tick in ticks]
         return pa.table(
             {
                 "recording_id": pa.array([key[0].as_py()] * len(out), pa.int64()),
@@ -194,23 +249,22 @@ def fold(observations: DataFrame, interval: float, width: int, height: int, meth
             }
         )
 
-    return observations.select("recording_id", "frame_id", "t", "box").groupBy("recording_id").applyInArrow(run, RECORD)
+    return _ticks(observations, interval).groupBy("recording_id").applyInArrow(run, RECORD)
 
 
-def summary(observations: DataFrame, interval: float, width: int, height: int, method: str = "median", bin_sec: float = fixed.BIN_SEC, enabled: bool = True) -> DataFrame:
-    """One row a recording: counters and final state; a disabled monitor has the reason alone."""
+def summary(observations: DataFrame, interval: float | str, width: int, height: int, method: str = "median", bin_sec: float = fixed.BIN_SEC, enabled: bool = True) -> DataFrame:
+    """One row a recording: counters, final state and the last attempt's gates; a disabled monitor has the reason alone."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("t", "ascending"), ("frame_id", "ascending")])
-        monitor = Monitor(interval, width, height, method, bin_sec)
-        rejected, last = 0, {"box": None, "reason": fixed.DISABLED}
-        if enabled:
-            for f, t, b in zip(rows.column("frame_id").to_pylist(), rows.column("t").to_pylist(), rows.column("box").to_pylist(), strict=True):
-                last = monitor.step(f, t, _tuple(b))
-                rejected += last["rejected"]
-        values = (key[0].as_py(), monitor.observed, monitor.routed, monitor.locks, monitor.unlocks, rejected, monitor.inferred, monitor.expired, monitor.epoch, _struct(last["box"]), last["reason"])
+        every, ticks = _ordered(rows)
+        monitor, last = Monitor(every, width, height, method, bin_sec), {"box": None, "reason": fixed.DISABLED}
+        for tick in ticks if enabled else ():
+            last = monitor.step(*tick)
+        gate = monitor.gate or dict.fromkeys(("reason", "n_bins", "worst_iou", "worst_area_ratio", "cluster"))
+        counters = (monitor.observed, monitor.routed, monitor.locks, monitor.unlocks, monitor.rejected, monitor.inferred, monitor.expired, monitor.epoch)
+        values = (key[0].as_py(), *counters, _struct(last["box"]), last["reason"], monitor.attempts, gate["reason"], gate["n_bins"], gate["worst_iou"], gate["worst_area_ratio"], gate["cluster"])
         names = [c.split()[0] for c in SUMMARY.replace(boxes.BOX, "box").split(", ")]
-        kinds = [pa.int64()] * 8 + [pa.int32(), BOX_TYPE, pa.string()]
+        kinds = [*[pa.int64()] * 8, pa.int32(), BOX_TYPE, pa.string(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string()]
         return pa.table([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
-    return observations.select("recording_id", "frame_id", "t", "box").groupBy("recording_id").applyInArrow(run, SUMMARY)
+    return _ticks(observations, interval).groupBy("recording_id").applyInArrow(run, SUMMARY)

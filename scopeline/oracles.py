@@ -34,6 +34,11 @@ ft AS (SELECT recording_id, frame_index, quantile_cont(gray::DOUBLE, 0.99) - qua
 ad AS (SELECT *, CASE WHEN dynamic_range < 30 THEN printf('dynamic range %.1f', dynamic_range) WHEN crushed > 0.9 THEN printf('crushed share %.3f', crushed)
                       WHEN saturated > 0.5 THEN printf('saturated share %.3f', saturated) WHEN gradient < 1 THEN printf('gradient %.3f', gradient) END AS reason FROM ft)"""
 
+_CLIP = """
+fr AS (SELECT label::BIGINT AS recording_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_index FROM embeddings),
+clip AS (SELECT recording_id, count(*) + (recording_id % 4 = 3)::BIGINT AS n_frames,
+                CASE WHEN recording_id % 9 <> 8 THEN CASE WHEN recording_id % 2 = 0 THEN 10.0 ELSE 4.0 END END::DOUBLE AS fps, count(*) AS n_there FROM fr GROUP BY recording_id)"""
+
 _REC = """
 rec AS (SELECT user_id AS recording_id, count(*) * 7 + user_id % 11 AS n_frames, ([59.0, 29.97, 25.0, 1.0]::DOUBLE[])[user_id % 4 + 1] AS fps FROM events GROUP BY user_id)"""
 
@@ -145,6 +150,40 @@ SELECT recording_id, frame_index, kind = 1 AND greatest(tissue, warm) >= 0.3 AS
         "monitor_counters": "SELECT user_id AS recording_id, count(*) AS n_monitored, count_if(event_type <> 'error') AS n_routed, 0::BIGINT AS n_rejected FROM events GROUP BY user_id",
         "session_disabled": f"SELECT DISTINCT user_id AS recording_id, 0::BIGINT AS n_monitored, '{fixed.DISABLED}' AS reason FROM events",
     }
+    sql["split_half_quantile"] = sql["split_half_stability"].replace(_MEDIAN, _QUANTILE)
+    sql["temporal_segments_quantile"] = sql["temporal_segments"].replace(_MEDIAN, _QUANTILE)
+    sql["validate_box_resolution"] = f"""WITH {_PAIRS} SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 7 > 0 THEN '{fixed.MISMATCH}'
+  WHEN ax1 < 0 OR ay1 < 0 OR ax2 > CASE WHEN event_id % 3 = 0 THEN 640 ELSE 1280 END OR ay2 > 720 THEN '{fixed.OUT_OF_FRAME}' ELSE '{fixed.VALID}' END AS reason FROM pr"""
+    sql["cadence_due_exact"] = f"""WITH RECURSIVE {_OBS}, k AS (SELECT recording_id, frame_id, t, row_number() OVER (PARTITION BY recording_id ORDER BY t, frame_id) AS n FROM o),
+s AS (SELECT recording_id, frame_id, t, n, TRUE AS due, (t + 0.5::DOUBLE)::DOUBLE AS later FROM k WHERE n = 1
+      UNION ALL SELECT k.recording_id, k.frame_id, k.t, k.n, k.t + 1e-9::DOUBLE >= s.later,
+                       CASE WHEN k.t + 1e-9::DOUBLE >= s.later THEN s.later + (trunc((k.t - s.later) / 0.5::DOUBLE) + 1) * 0.5::DOUBLE ELSE s.later END
+      FROM s JOIN k ON k.recording_id = s.recording_id AND k.n = s.n + 1)
+SELECT recording_id, frame_id, t, due FROM s"""
+    sql["frame_features_sobel"] = f"""WITH {_PIX}, gr AS (SELECT recording_id, frame_index, y, x, round_even(0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r, 0)::DOUBLE AS v FROM px),
+off AS (SELECT dy, dx, (2 - abs(dy)) * dx AS wx, (2 - abs(dx)) * dy AS wy FROM (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)),
+nb AS (SELECT recording_id, frame_index, y, x, wx, wy, CASE WHEN y + dy < 0 THEN 1 WHEN y + dy > 7 THEN 6 ELSE y + dy END AS ny, CASE WHEN x + dx < 0 THEN 1 WHEN x + dx > 7 THEN 6 ELSE x + dx END AS nx FROM gr, off),
+sl AS (SELECT nb.recording_id, nb.frame_index, nb.y, nb.x, sum(wx * v) AS gx, sum(wy * v) AS gy FROM nb JOIN gr ON nb.recording_id = gr.recording_id AND nb.frame_index = gr.frame_index AND nb.ny = gr.y AND nb.nx = gr.x GROUP BY ALL),
+sm AS (SELECT recording_id, frame_index, avg(sqrt(gx * gx + gy * gy)) AS gradient FROM sl GROUP BY ALL)
+SELECT recording_id, frame_index, round(quantile_cont(v, 0.99) - quantile_cont(v, 0.01), 6) AS dynamic_range, round(avg((v <= 2)::INT), 6) AS crushed, round(avg((v >= 253)::INT), 6) AS saturated, round(any_value(gradient), 6) AS gradient
+FROM gr JOIN sm USING (recording_id, frame_index) GROUP BY recording_id, frame_index"""
+    sql["clean_mask"] = f"""WITH RECURSIVE {_PIX}, {_VOTES}, on_ AS (SELECT recording_id, y, x, y * 8 + x AS p FROM votes WHERE view),
+reach AS (SELECT recording_id, p AS a, p AS b FROM on_
+          UNION SELECT r.recording_id, r.a, q.p FROM reach r JOIN on_ o ON o.recording_id = r.recording_id AND o.p = r.b
+                JOIN on_ q ON q.recording_id = r.recording_id AND abs(q.y - o.y) <= 1 AND abs(q.x - o.x) <= 1),
+part AS (SELECT recording_id, a AS p, min(b) AS root, count(*) AS n FROM reach GROUP BY ALL),
+best AS (SELECT recording_id, arg_min(root, -n * 100 + root) AS root FROM part GROUP BY recording_id)
+SELECT recording_id, (p // 8)::INT AS y, (p % 8)::INT AS x FROM part JOIN best USING (recording_id, root)"""
+    sql["recording_status"] = f"""WITH {_CLIP}, st AS (SELECT *, CASE WHEN fps IS NULL THEN 'no_frame_rate' WHEN n_there < n_frames THEN 'decode_failed' ELSE 'ok' END AS status, CASE WHEN fps IS NOT NULL THEN least(5.0::DOUBLE, fps) END AS hz FROM clip),
+due AS (SELECT recording_id, count(DISTINCT slot) AS n_due FROM (SELECT recording_id, floor((unnest(range(0, n_frames)) / fps + 1e-9) * hz) AS slot FROM st WHERE status = 'ok') GROUP BY recording_id)
+SELECT recording_id, status, CASE WHEN status = 'decode_failed' THEN n_there END AS first_missing, 5.0::DOUBLE AS monitor_hz, hz AS effective_monitor_hz, n_frames AS n_frames_in_source,
+       coalesce(n_due, 0) AS n_frames_monitored, CASE WHEN status = 'ok' THEN least(n_frames, 24) ELSE 0 END AS n_calibration_frames FROM st LEFT JOIN due USING (recording_id)"""
+    sql["recording_gaps"] = f"""WITH {_CLIP}, f AS (SELECT recording_id, n_there, fps, least(5.0::DOUBLE, fps) AS hz, unnest(range(0, n_frames + recording_id % 3)) AS i FROM clip WHERE fps IS NOT NULL),
+s AS (SELECT recording_id, n_there, i, floor((i / fps + 1e-9) * hz) AS slot FROM f)
+SELECT recording_id, i AS frame_index FROM (SELECT *, lag(slot) OVER (PARTITION BY recording_id ORDER BY i) AS prev FROM s) WHERE (prev IS NULL OR slot > prev) AND i >= n_there"""
+    sql["calibration_frames"] = f"""WITH {_CLIP}, w AS (SELECT DISTINCT recording_id, n_there, round_even(i * (greatest(n_frames - 1, 0) / 23.0::DOUBLE), 0)::BIGINT AS frame_index FROM clip, (SELECT unnest(range(0, 24)) AS i))
+SELECT recording_id, frame_index, 64::BIGINT AS n_pixels FROM w WHERE frame_index < n_there"""
+    sql["dropped_frames"] = f"WITH {_PIX}, {_FEAT} SELECT recording_id, frame_index FROM ad WHERE reason IS NOT NULL"
     sql["scheduled_count"] = f"SELECT recording_id, count(*) AS n_due FROM ({sql['cadence_due_regular']}) GROUP BY recording_id"
     return sql
 

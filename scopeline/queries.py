@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import boxes, fixed
 from .operators import cadence, evidence, masks, session, stability
-from .plans.pipelines import analyze_frames, analyze_sessions, flat, monitor_records, observed
+from .plans.pipelines import analyze_frames, analyze_recordings, analyze_sessions, flat, monitor_records, observed
 from .session import table
 from .sources import sinks, tables
 
@@ -115,6 +115,15 @@ def validate_box_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", boxes.reason(coords, F.lit(W), F.lit(H)).alias("reason"))
 
 
+@query
+def validate_box_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes made for one frame size, met with frames of another size for every third event."""
+    wide = F.when(F.col("event_id") % 3 == 0, F.lit(W // 2)).otherwise(F.lit(W))
+    made = F.when(F.col("event_id") % 7 > 0, F.lit(W))
+    coords = F.array(*(F.col("a")[s].cast("double") for s in boxes.SIDES))
+    return _pairs(spark, sf).select("event_id", boxes.reason(coords, wide, F.lit(H), expected=(made, F.lit(H))).alias("reason"))
+
+
 @query
 def clamp_box(spark: SparkSession, sf: str) -> DataFrame:
     return flat(_pairs(spark, sf).select("event_id", boxes.clamped(F.col("b"), F.lit(300), F.lit(200)).alias("box")), "box")
@@ -178,6 +187,31 @@ def temporal_segments(spark: SparkSession, sf: str) -> DataFrame:
     return flat(stability.segments(_bins(spark, sf)), "box")
 
 
+@query
+def split_half_quantile(spark: SparkSession, sf: str) -> DataFrame:
+    return stability.split_half(_bins(spark, sf), method="quantile")
+
+
+@query
+def split_half_occupancy(spark: SparkSession, sf: str) -> DataFrame:
+    return stability.split_half(_bins(spark, sf), method="occupancy")
+
+
+@query
+def split_half_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    return stability.split_half(_bins(spark, sf), method="cluster")
+
+
+@query
+def temporal_segments_quantile(spark: SparkSession, sf: str) -> DataFrame:
+    return flat(stability.segments(_bins(spark, sf), "quantile"), "box")
+
+
+@query
+def temporal_segments_occupancy(spark: SparkSession, sf: str) -> DataFrame:
+    return flat(stability.segments(_bins(spark, sf), "occupancy"), "box")
+
+
 @query
 def bootstrap_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return flat(stability.bootstrap(_bins(spark, sf)), "box")
@@ -233,7 +267,8 @@ def frame_features_basic(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def frame_features_sobel(spark: SparkSession, sf: str) -> DataFrame:
-    return masks.frame_features(masks.packed(tables.pixels(spark, sf), 8, 8))
+    out = masks.frame_features(masks.packed(tables.pixels(spark, sf), 8, 8))
+    return out.select("recording_id", "frame_index", *(F.round(c, 6).alias(c) for c in ("dynamic_range", "crushed", "saturated", "gradient")))
 
 
 @query
@@ -317,3 +352,49 @@ def session_result(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def session_disabled(spark: SparkSession, sf: str) -> DataFrame:
     return session.summary(tables.observations(spark, sf), INTERVAL, W, H, enabled=False).select("recording_id", "n_monitored", "reason")
+
+
+# whole recordings
+
+
+def _analysis(spark: SparkSession, sf: str):
+    return analyze_recordings(*tables.clips(spark, sf), 8, 8, method="median", share=0.25, min_area=3, min_rim=1, min_share=0.3)
+
+
+@query
+def recording_result(spark: SparkSession, sf: str) -> DataFrame:
+    return flat(_analysis(spark, sf).result, "inner_box", "full_box", "active_box")
+
+
+@query
+def recording_records(spark: SparkSession, sf: str) -> DataFrame:
+    return flat(_analysis(spark, sf).records, "box")
+
+
+@query
+def recording_status(spark: SparkSession, sf: str) -> DataFrame:
+    """What SQL can know of a recording's analysis without the boxes: whether it failed closed, and how much was looked at."""
+    return _analysis(spark, sf).result.select("recording_id", "status", "first_missing", "monitor_hz", "effective_monitor_hz", "n_frames_in_source", "n_frames_monitored", "n_calibration_frames")
+
+
+@query
+def recording_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Due frames that a recording lacks."""
+    recordings, frames = tables.clips(spark, sf)
+    due = cadence.due_regular(recordings.where("fps is not null").withColumn("n_frames", F.col("n_frames") + F.col("recording_id") % 3))
+    return cadence.missing_frames(due.select("recording_id", "frame_index"), frames.select("recording_id", "frame_index").distinct())
+
+
+@query
+def calibration_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """The sampled frames that there are, and their pixels' count."""
+    recordings, frames = tables.clips(spark, sf)
+    found = cadence.wanted_frames(frames, cadence.calibration_sample(recordings))
+    return found.groupBy("recording_id", "frame_index").agg(F.count(F.lit(1)).alias("n_pixels"))
+
+
+@query
+def dropped_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Sampled frames that are not admissible."""
+    features = _features(spark, sf).select("recording_id", "frame_index", masks.inadmissible().alias("reason"))
+    return cadence.dropped_frames(features.select("recording_id", "frame_index"), features.where("reason is null"))

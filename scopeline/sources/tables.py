@@ -33,6 +33,28 @@ def checked_model(spark: SparkSession, path: str, sha256: str) -> bytes:
     return bytes(found[0]["content"])
 
 
+def checked_network(found: dict, classes: int, base_channels: int, tensors: int, is_tensor: Callable[[object], bool]) -> dict:
+    """The settings inside a loaded model file (``model_state`` and ``config``), once all of it is as expected.
+
+    Reading the file into a mapping is the caller's network library's work.
+    """
+    lacking = [k for k in ("model_state", "config") if k not in found]
+    if lacking:
+        raise ModelFileError(f"the model file lacks {lacking}; it has {sorted(found)}")
+    settings = (found["config"] or {}).get("model") or {}
+    try:
+        shape = int(settings["num_classes"]), int(settings["base_channels"])
+    except (KeyError, TypeError, ValueError) as e:
+        raise ModelFileError(f"the model file's settings do not say its shape: {settings}") from e
+    if shape != (classes, base_channels):
+        raise ModelFileError(f"the model file is for {shape[0]} classes and {shape[1]} channels, not {classes} and {base_channels}")
+    state = found["model_state"]
+    held = sum(map(is_tensor, state.values()))
+    if not held == len(state) == tensors:
+        raise ModelFileError(f"the model file has {len(state)} entries, {held} of them tensors, not {tensors}")
+    return dict(settings)
+
+
 def with_masks(frames: DataFrame, provider: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Frames to masks by any batch-wise provider: inference is a stage that callers plug in.
 
@@ -73,6 +95,19 @@ def observations(spark: SparkSession, sf_dir: str, fixed_boxes: bool = False) ->
     return rows.select("recording_id", "event_id", F.lpad(F.col("event_id").cast("string"), 12, "0").alias("frame_id"), "us", "t", F.when(F.col("event_type") != "error", made).alias("box"))
 
 
+def clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Recordings (recording_id, n_frames, fps) and their 8 x 8 frames, numbered from 0 in each.
+
+    Of four recordings one promises a frame that it does not have; of nine one has no rate.
+    """
+    rows = pixels(spark, sf_dir)
+    rows = rows.withColumn("frame_index", F.dense_rank().over(Window.partitionBy("recording_id").orderBy("frame_index")).cast("long") - 1)
+    counted = rows.groupBy("recording_id").agg((F.max("frame_index") + 1).alias("n"))
+    r = F.col("recording_id")
+    rate = F.when(r % 9 != 8, F.when(r % 2 == 0, 10.0).otherwise(4.0))
+    return counted.select("recording_id", (F.col("n") + (r % 4 == 3).cast("long")).alias("n_frames"), rate.alias("fps")), rows
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 frames from vectors: recording_id, frame_index, y, x, cls, gray, b, g, r."""
     v = F.abs(F.col("v").cast("double"))
