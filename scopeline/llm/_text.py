@@ -12,9 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
 CHUNK_BYTES = 1 << 19
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 1000
 #: Bytes whose powers are kept; those of a longer text are put together from two.
 TILE_BITS = 17
 TILE = 1 << TILE_BITS
@@ -42,6 +46,18 @@ def release() -> None:
         _trim(0)
 
 
+def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of ``BATCH_ROWS`` rows.
+
+    Ten thousand whole texts, Spark's own number, take an executor some 500 MB
+    outside its heap. A session that has set another number keeps it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def tidy(run: Callable) -> Callable:
     """``run`` over a group (key, rows) or a pair of groups, with ``release`` once its own data are gone.
 

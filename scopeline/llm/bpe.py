@@ -229,7 +229,7 @@ def encode(docs: DataFrame, path: str, table_words: int = TABLE_WORDS) -> DataFr
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(off)), _text.blobs(ids, off)], ["doc_id", "n_tokens", "ids"])
             _text.release()
 
-    return _words(docs, path, ["doc_id"]).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    return _text.map_batches(_words(docs, path, ["doc_id"]), run, f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -244,7 +244,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 texts = decode_ids(tokenizer, np.frombuffer(part.tobytes(), dtype="<u4"), o // 4)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return _text.map_batches(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, text string")
 
 
 def round_trip(docs: DataFrame, path: str, table_words: int = TABLE_WORDS) -> DataFrame:
@@ -266,5 +266,5 @@ def round_trip(docs: DataFrame, path: str, table_words: int = TABLE_WORDS) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(off)), pa.array(digest), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             _text.release()
 
-    return _words(docs, path, ["doc_id"]).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _text.map_batches(_words(docs, path, ["doc_id"]), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

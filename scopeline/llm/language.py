@@ -117,4 +117,4 @@ def identify(docs: DataFrame, model: _crf.Crf, word_shares: bool = False) -> Dat
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "shares"][: len(columns)])
 
     schema = f"doc_id {kind.simpleString()}, lang_pred string, score double" + (", shares array<double>" if word_shares else "")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return _text.map_batches(docs.select("doc_id", "text"), run, schema)

@@ -133,4 +133,4 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             out = [scores(sent.value, b, o) for _, _, b, o in _text.chunks(buf, off)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, score double")
+    return _text.map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind.simpleString()}, score double")

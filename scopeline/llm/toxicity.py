@@ -145,7 +145,7 @@ def tag(docs: DataFrame, model: _crf.Crf) -> DataFrame:
                 found += spans(b, o, words, marginal)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(total)), pa.array(many, pa.int64()), pa.array(found, span)], ["doc_id", "score", "n_toxic_words", "toxic_spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, score double, n_toxic_words long, toxic_spans array<struct<start:int,end:int,score:double>>")
+    return _text.map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind.simpleString()}, score double, n_toxic_words long, toxic_spans array<struct<start:int,end:int,score:double>>")
 
 
 def below(docs: DataFrame, model: _crf.Crf, threshold: float) -> DataFrame:
@@ -163,4 +163,4 @@ def below(docs: DataFrame, model: _crf.Crf, threshold: float) -> DataFrame:
             yield batch.filter(pa.array(score < threshold))
             _text.release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return _text.map_batches(docs, run, docs.schema)
