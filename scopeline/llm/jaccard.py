@@ -14,18 +14,21 @@ their union. Links are exact. What is dealt out where:
    documents meet over prefix shingles. Those that meet over a shingle form a
    group around the least node among them; groups with the same least node are one
    *cell*, so a document is sent to few cells however many shingles it shares.
+   A member whose size and shared shingles rule out a link with even the smallest
+   set of the cell is left out of it.
 4. Each cell is joined by a signature tree (``_tree``). A cell above ``CELL``
-   members is split at random, its hub in each part; after the components of all
+   members is split by size, its hub in each part; after the components of all
    links are known, its members outside its largest component are joined by dual
-   traversal with every part of it. Nothing is capped: a pair that meets is
-   compared, or is already connected.
+   traversal with those parts of it whose sizes allow a link, which is settled
+   before any set is sent. Nothing is capped: a pair that meets is compared, is
+   ruled out by sizes, or is already connected.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -67,7 +70,7 @@ def shingle_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(edge)), pa.array(one), pa.array(two)], ["_key", "_digest", "n_shingles", "one", "two"])
             _text.release()
 
-    return docs.select("_key", "text", "_digest").mapInArrow(run, "_key long, _digest binary, n_shingles long, one long, two long")
+    return _text.map_batches(docs.select("_key", "text", "_digest"), run, "_key long, _digest binary, n_shingles long, one long, two long")
 
 
 class _Block:
@@ -187,38 +190,65 @@ def _join(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def links(kept: DataFrame, cell: int = CELL) -> DataFrame:
-    """Links (a, b) that span every class of linked sets in ``kept`` (id, size, prefix, tokens), a set an id."""
+def members(kept: DataFrame) -> DataFrame:
+    """hub, id, size and cap of the sets of every cell, the hub among them.
+
+    A set of size a whose shared tokens are h can only link with sets of a size
+    up to its *cap*, (WHOLE + PART) / PART * h - a. A set whose cap is below the
+    least size in its cell links with nothing there and is left out of it: so are
+    all documents that share a template and have too much text of their own.
+    """
     token = kept.select("id", F.explode("prefix").alias("token"))
     hubs = token.groupBy("token").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "hub")
-    member = cut(token.join(hubs, "token").where("id <> hub").select("hub", "id").distinct())
-    count = member.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / cell).cast("long")
-    sized = count.select("hub", parts.alias("parts"))
-    placed = member.join(sized, "hub").select("hub", "id", "parts", F.pmod(F.xxhash64("id"), "parts").alias("part"))
-    hub_rows = sized.select("hub", F.col("hub").alias("id"), "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    held = F.floor(F.octet_length("tokens") / 8 * (WHOLE + PART) / PART).cast("long")
+    sized = kept.select("id", "size", (held - F.col("size")).alias("cap"))
+    rows = cut(token.join(hubs, "token").select("hub", "id").distinct().join(sized, "id").select("hub", "id", "size", "cap"))
+    least = rows.groupBy("hub").agg(F.min("size").alias("least"))
+    return rows.join(least, "hub").where("cap >= least").drop("least")
+
+
+def _dealt(rows: DataFrame, cell: int, name: str) -> DataFrame:
+    """``rows`` with the number of their part: about ``cell`` members of a hub that are next to each other in size."""
+    each = rows.groupBy("hub", "size").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("hub").orderBy("size")) - F.col("_n")
+    placed = rows.join(each.withColumn("_before", before), ["hub", "size"])
+    return placed.withColumn(name, F.floor((F.col("_before") + F.pmod(F.xxhash64("id"), "_n")) / cell)).drop("_n", "_before")
+
+
+def live_pairs(every: DataFrame, strays: DataFrame) -> DataFrame:
+    """hub, part and stray_part of the parts whose sizes and caps allow a link between them."""
+    one = every.groupBy("hub", "part").agg(F.min("size").alias("low"), F.max("cap").alias("top"))
+    two = strays.groupBy("hub", "stray_part").agg(F.min("size").alias("stray_low"), F.max("cap").alias("stray_top"))
+    return one.join(two, "hub").where("low <= stray_top and stray_low <= top").select("hub", "part", "stray_part")
+
+
+def links(kept: DataFrame, cell: int = CELL) -> DataFrame:
+    """Links (a, b) that span every class of linked sets in ``kept`` (id, size, prefix, tokens), a set an id."""
+    placed = cut(_dealt(members(kept), cell, "part"))
+    count = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("last")).where("n > 1").select("hub", "last")
+    placed = placed.join(count, "hub")
+    # the hub goes to every part, so that most of a cell is one component at once
+    own = placed.where("id = hub").select("hub", "id", F.col("part").alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part"))
+    spread = placed.select("hub", "id", "part").unionByName(own.where("part <> _own").select("hub", "id", "part"))
     sets = kept.select("id", "size", "tokens")
-    sent = placed.unionByName(hub_rows).join(sets, "id").select("hub", "part", "id", "size", "tokens", F.lit(False).alias("stray"), F.col("id").alias("known"))
+    sent = spread.join(sets, "id").select("hub", "part", "id", "size", "tokens", F.lit(False).alias("stray"), F.col("id").alias("known"))
     found = cut(sent.groupBy("hub", "part").applyInArrow(_join, "a long, b long"))
 
-    wide = cut(placed.unionByName(hub_rows).where("parts > 1").select("hub", "id", "parts", F.pmod(F.xxhash64("id"), "parts").alias("part")).distinct())
+    wide = cut(placed.where("last > 0").select("hub", "id", "size", "cap", "part"))
     if wide.isEmpty():
         return found
     label = graph.components(found)
-    known = wide.join(label, "id", "left").select("hub", "id", "parts", "part", F.coalesce("component", "id").alias("known"))
-    known = cut(known)
+    known = cut(wide.join(label, "id", "left").select("hub", "id", "size", "cap", "part", F.coalesce("component", "id").alias("known")))
     each = known.groupBy("hub", "known").agg(F.count(F.lit(1)).alias("n"))
     main = each.groupBy("hub").agg(F.max(F.struct("n", "known")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("hub", F.col("most.known").alias("main"))
     open_cells = known.join(main, "hub")
-    strays = open_cells.where("known <> main")
-    stray_parts = strays.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).select("hub", F.ceil(F.col("n") / cell).cast("long").alias("stray_parts"))
-    open_cells = open_cells.join(stray_parts, "hub")
-    all_sent = open_cells.select("hub", "id", "known", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stray_parts") - 1)).alias("stray_part"), F.lit(False).alias("stray"))
-    stray_sent = open_cells.where("known <> main").select(
-        "hub", "id", "known", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), "stray_parts").alias("stray_part"), F.lit(True).alias("stray")
-    )
-    both = all_sent.unionByName(stray_sent).join(sets, "id").select("hub", "part", "stray_part", "id", "size", "tokens", "stray", "known")
-    more = cut(both.groupBy("hub", "part", "stray_part").applyInArrow(_join_strays, "a long, b long"))
+    strays = cut(_dealt(open_cells.where("known <> main").select("hub", "id", "size", "cap", "known"), cell, "stray_part"))
+    live = cut(live_pairs(open_cells, strays))
+    columns = ("hub", "part", "stray_part", "id", "known")
+    both = open_cells.join(live, ["hub", "part"]).select(*columns, F.lit(False).alias("stray"))
+    both = both.unionByName(strays.join(live, ["hub", "stray_part"]).select(*columns, F.lit(True).alias("stray")))
+    joined = both.join(sets, "id").select("hub", "part", "stray_part", "id", "size", "tokens", "stray", "known")
+    more = cut(joined.groupBy("hub", "part", "stray_part").applyInArrow(_join_strays, "a long, b long"))
     return found.unionByName(more)
 
 

@@ -56,6 +56,75 @@ def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, cell):
     assert got == brute_classes(rows) and len({c for _, _, c in got}) < len(texts)
 
 
+def kept_sets(sets, spark):
+    """What the operator keeps of some sets of tokens: those shared, if three quarters are, and the rarest of them."""
+    count = {}
+    for tokens in sets:
+        for x in tokens:
+            count[x] = count.get(x, 0) + 1
+    rows = []
+    for i, tokens in enumerate(sets):
+        shared = sorted((x for x in tokens if count[x] > 1), key=lambda x: (count[x], x))
+        need = -(-75 * len(tokens) // 100)
+        if len(shared) >= need:
+            rows.append((i, len(tokens), shared[: len(shared) - need + 1], np.array(sorted(shared), np.uint64).tobytes()))
+    return spark.createDataFrame(rows, "id long, size long, prefix array<long>, tokens binary")
+
+
+def brute_components(sets):
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_a_template_of_many_unlinked_texts_makes_no_pairs(spark):
+    # 400 texts of 80 shared tokens and 20 to 25 of their own: all meet, none link
+    template = set(range(80))
+    sets = [template | set(range(1000 * (i + 1), 1000 * (i + 1) + 20 + i % 6)) for i in range(400)]
+    assert jaccard.members(kept_sets(sets, spark)).count() == 0
+    # with a pair that does link among them only that pair's sets are left to compare with the rest
+    sets += [template | {1, 2, 3}, template | {5_000_000}]
+    kept = kept_sets(sets, spark)
+    assert jaccard.members(kept).where("size > 81").count() <= 400
+    got = {r.id: r.component for r in graph.components(jaccard.links(kept, 10)).collect()}
+    truth = brute_components(sets)
+    assert {i: c for i, c in enumerate(truth) if truth.count(c) > 1} == got
+
+
+@pytest.mark.parametrize("cell", [400, 7, 2])
+def test_links_of_wide_cells_span_the_classes(spark, cell):
+    draw = random.Random(31)
+    core = list(range(60))
+    sets = []
+    for _ in range(120):
+        part = set(draw.sample(core, draw.randint(34, 60)))
+        sets.append(part | set(draw.sample(range(100, 130), draw.randint(0, 12))))
+    truth = brute_components(sets)
+    got = {r.id: r.component for r in graph.components(jaccard.links(kept_sets(sets, spark), cell)).collect()}
+    assert {i: c for i, c in enumerate(truth) if truth.count(c) > 1} == got and len(set(got.values())) < len(got)
+
+
+def test_parts_that_cannot_link_are_never_paired(spark):
+    every = spark.createDataFrame([(1, k, 10 + 10 * (k // 50), 13 + 10 * (k // 50)) for k in range(500)], "hub long, id long, size long, cap long")
+    dealt = jaccard._dealt(every, 10, "part")
+    assert dealt.groupBy("part").count().where("count > 40").isEmpty() and dealt.count() == 500
+    strays = dealt.withColumnRenamed("part", "stray_part")
+    live = jaccard.live_pairs(dealt, strays).count()
+    parts = dealt.select("part").distinct().count()
+    # a size meets its own parts and the edges of its neighbours, not all
+    assert live < parts * 12 < parts * parts / 3
+
+
 def test_the_least_id_of_a_cell_may_be_minus_one():
     tokens = np.arange(20, dtype=np.uint64).tobytes()
     members = pa.table({"id": [-1, 3], "size": [20, 20], "tokens": [tokens, tokens], "stray": [False, False], "known": [-1, 3]})
