@@ -60,18 +60,25 @@ def bounds(table: DataFrame) -> list[tuple[int, int]]:
 
 
 def _in_signature(parts: list[tuple[int, int]]) -> Column:
-    """Whether a shingle hash belongs to the signature of any partition that the document is large enough for."""
-    inside = F.lit(False)
-    for need, bound in parts:
-        inside = inside | ((F.col("n_doc") >= need) & (F.col("hash") <= bound))
-    return inside
+    """Whether a shingle hash belongs to the signature of any partition that the document is large enough for.
+
+    One comparison of both: of a test on the size alone, Spark would make a filter
+    below the columns that build the array, and build it again for every shingle.
+    """
+    none = F.lit(-(1 << 63))
+    bound = none
+    for need, top in parts:
+        bound = F.greatest(bound, F.when(F.col("n_doc") >= need, F.lit(top)).otherwise(none))
+    return F.col("hash") <= bound
 
 
 def candidates(docs: DataFrame, table: DataFrame, parts: list[tuple[int, int]], hint) -> DataFrame:
     """doc_id, _row (a hash of the text) and item_id of each pair whose signature and sketch meet; one pass over ``docs``."""
     hashed = _worded(docs, "doc_id", F.xxhash64("text").alias("_row")).select("doc_id", "_row", _native.shingle_hashes(F.col("_words")).alias("_hashes"))
+    # the size is taken before the array is exploded: after, every exploded row would carry the whole array
+    sized = hashed.select("doc_id", "_row", "_hashes", F.size("_hashes").alias("n_doc"))
     # explode_outer: for explode, Spark would push a test of the array's size below the columns that build it
-    signature = hashed.select("doc_id", "_row", F.size("_hashes").alias("n_doc"), F.explode_outer("_hashes").alias("hash")).where(_in_signature(parts))
+    signature = sized.select("doc_id", "_row", "n_doc", F.explode_outer("_hashes").alias("hash")).where(_in_signature(parts))
     least = table.groupBy("size_part").agg(F.min("need").alias("part_need"))
     sketch = table.where("in_sketch").select("item_id", "size_part", "hash").join(F.broadcast(least), "size_part")
     met = signature.join(hint(sketch), "hash").where(F.col("n_doc") >= F.col("part_need"))
