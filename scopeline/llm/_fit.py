@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from . import _text
 
-#: Longest text, in characters, that a training row may have; scoring has no such bound.
-MAX_TRAIN_CHARS = 200_000
+#: Characters that all training texts have together at most, but for the shortest of each label; scoring has no such bound.
+MAX_TRAIN_CHARS = 16_000_000
 #: Rows of all labels together that ``labelled_by`` returns at most, but for one of each label.
 MAX_ROWS = 12_800
 #: Labels up to which their counts are broadcast, so that ids are thinned where they are.
@@ -63,15 +63,15 @@ def labelled_by(docs: DataFrame, label: str, keep: Column, rows: int) -> list[tu
 
 
 def _texts(docs: DataFrame, chosen: DataFrame) -> list[tuple[str, object]]:
-    texts = (
-        docs.where(F.col("text").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS))
-        .select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .groupBy("doc_id", "_label")
-        .agg(F.min("text").alias("text"))
-        .select("doc_id", "text", "_label")
-        .collect()
-    )
+    """The chosen rows' whole texts; where all have more than ``MAX_TRAIN_CHARS`` characters, the longest are left out.
+
+    ``chosen`` has a bounded number of rows, so one task can add up their lengths.
+    """
+    held = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    size = F.length("text")
+    total = F.sum(size).over(Window.orderBy(size, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.row_number().over(Window.partitionBy("_label").orderBy(size, "doc_id")) == 1
+    texts = held.withColumn("_total", total).withColumn("_first", first).where((F.col("_total") <= MAX_TRAIN_CHARS) | F.col("_first")).select("doc_id", "text", "_label").collect()
     return [(r.text, r._label) for r in sorted(texts, key=lambda r: r.doc_id)]
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scopeline.llm import _crf, _fit, language, quality, queries, toxicity
+from scopeline.llm import _crf, _fit, _text, language, quality, queries, toxicity
 
 from . import cases
 
@@ -100,6 +100,84 @@ def test_training_rows_are_bounded_and_repeatable(spark):
     assert len(_fit.labelled_by(docs.unionByName(docs), "lang", F.lit(True), 5)) == 5 * docs.where("lang is not null").select("lang").distinct().count()
 
 
+def test_long_texts_teach_and_all_together_are_bounded(spark, monkeypatch):
+    rows = [(i, "word " * (10 if i % 2 else 60_000), "short" if i % 2 else "long") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(y for _, y in _fit.labelled_by(docs, "lang", F.lit(True), 9)) == ["long"] * 5 + ["short"] * 5
+    monkeypatch.setattr(_fit, "MAX_TRAIN_CHARS", 700_000)
+    assert sorted(y for _, y in _fit.labelled_by(docs, "lang", F.lit(True), 9)) == ["long"] * 2 + ["short"] * 5
+    monkeypatch.setattr(_fit, "MAX_TRAIN_CHARS", 0)
+    assert sorted(y for _, y in _fit.labelled_by(docs, "lang", F.lit(True), 9)) == ["long", "short"]
+
+
+def test_quality_features_and_scores_equal_a_naive_loop():
+    draw = np.random.default_rng(2)
+    rows = ["", "a", "the cat the the cat", "é ü ü #$", " ".join(draw.choice(["one", "two", "three", "é"], 40))]
+    buf, off = _fit.joined(rows)
+    model = quality.QualityModel(draw.normal(size=quality.BUCKETS).astype(np.float32), 0.3)
+    got = quality.scores(model, buf, off)
+    for text, score in zip(rows, got, strict=True):
+        raw, parts = text.encode(), []
+        word = text.split()
+        for i, w in enumerate(word):
+            b, o = _fit.joined([w])
+            parts.append(int(_text.between(_text.prefix_hash(b), o[:1], o[1:])[0]) >> (64 - quality.WORD_BITS))
+            parts.append(quality.SHAPE + (i > 0 and word[i - 1] == w))
+        for width, salt in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
+            for i in range(len(raw) - width + 1):
+                gram = int.from_bytes(raw[i : i + width], "big") * salt % (1 << 32)
+                parts.append((gram >> (32 - quality.GRAM_BITS)) + (1 << quality.WORD_BITS) + (width - 3) * (1 << quality.GRAM_BITS))
+        logit = 0.3 + sum(float(model.weight[p]) for p in parts) / (len(parts) + quality.PRIOR_FEATURES)
+        assert score == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-5)
+
+
+def test_crf_gradient_equals_a_numeric_one():
+    draw = np.random.default_rng(9)
+    buf, off = _fit.joined(["one two three four", "two five one"])
+    words = _crf.chain(buf, off, ())
+    tag = np.array([0, 1, 1, 0, 1, 0, 0])
+    table, move, begin = draw.normal(size=(1 << _crf.BITS, 2)), draw.normal(size=(2, 2)), draw.normal(size=2)
+
+    def loss(t):
+        total = 0.0
+        for first, n in zip(words.first, words.length, strict=True):
+            f = words.feature[0][first : first + n]
+
+            def value(path, f=f):
+                return begin[path[0]] + sum(move[a, b] for a, b in itertools.pairwise(path)) + sum(t[x, y] for x, y in zip(f, path, strict=True))
+
+            total += value(tuple(tag[first : first + n])) - np.log(sum(np.exp(value(p)) for p in itertools.product(range(2), repeat=int(n))))
+        return total
+
+    model = _crf.Crf([0, 1], [table], move, begin)
+    slope = np.eye(2)[tag] - _crf.marginals(model, words)
+    for bucket in np.unique(words.feature[0]):
+        mine = slope[words.feature[0] == bucket].sum(axis=0)
+        for k in range(2):
+            up, down = table.copy(), table.copy()
+            up[bucket, k] += 1e-5
+            down[bucket, k] -= 1e-5
+            assert mine[k] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-5)
+
+
+def test_toxic_and_language_tables_may_be_empty(spark):
+    empty = cases.empty(spark)
+    assert toxicity.tag(empty, toxicity.fit([])).count() == 0 == toxicity.below(empty, toxicity.fit([]), 0.3).count()
+    assert language.identify(empty, language.fit([("a b", "en")])).count() == 0
+    assert toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int")).extra["logistic"] is None
+
+
+def test_document_scores_are_digests_of_the_marginals():
+    draw = np.random.default_rng(12)
+    row = np.sort(draw.integers(0, 5, 30))
+    marginal = draw.random(30)
+    got = toxicity._digest(marginal, row, 6)
+    for i in range(6):
+        mine = marginal[row == i]
+        top = min(max(mine.max(initial=0), 1e-4), 1 - 1e-4)
+        assert got[i] == pytest.approx([np.log(top / (1 - top)), np.log1p(sum(m for m in mine if m >= 0.1))])
+
+
 def test_every_label_is_learned(spark, monkeypatch):
     rows = [(i, f"text {i} of words", f"l{i % 90:02d}") for i in range(450)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
