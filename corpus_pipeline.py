@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scopeline.llm import _fit, bpe, decontaminate, jaccard, suffix, toxicity
 from scopeline.llm.queries import tokenizer_path
-from scopeline.session import shared_dir, table
+from scopeline.session import remove, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -81,11 +81,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; a stage's table goes once the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    base, last = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         path = f"{base}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs

@@ -43,7 +43,7 @@ def quantile_box(low: float = fixed.QUANTILES[0], high: float = fixed.QUANTILES[
 
 
 def kernel_boxes(evidence: DataFrame, method: str, width: int, height: int) -> DataFrame:
-    """recording_id, box and diagnostic by the occupancy or cluster estimator, a recording's bins in one array.
+    """recording_id, n_bins, span, n_routed, box and diagnostic by the occupancy or cluster estimator, a recording's bins in one array.
 
     A recording has at most ``EVIDENCE_BINS`` bins in use at a time in a monitor;
     over a whole recording the array has one small entry a bin.
@@ -58,23 +58,26 @@ def kernel_boxes(evidence: DataFrame, method: str, width: int, height: int) -> D
         return pa.table(
             {
                 "recording_id": pa.array([key[0].as_py()], pa.int64()),
+                "n_bins": pa.array([len(held)], pa.int64()),
+                "span": rows.column("span").slice(0, 1).cast(pa.float64()),
+                "n_routed": rows.column("n_routed").slice(0, 1).cast(pa.int64()),
                 "box": pa.array([None if found is None else dict(zip(boxes.SIDES, found, strict=True))], pa.struct([(s, pa.int32()) for s in boxes.SIDES])),
                 "diagnostic": pa.array([note], pa.string()),
             }
         )
 
-    return evidence.select("recording_id", "bin", "box").groupBy("recording_id").applyInArrow(run, f"recording_id long, box {boxes.BOX}, diagnostic string")
+    schema = f"recording_id long, n_bins long, span double, n_routed long, box {boxes.BOX}, diagnostic string"
+    return evidence.select("recording_id", "bin", "span", "n_routed", "box").groupBy("recording_id").applyInArrow(run, schema)
 
 
 def estimate(evidence: DataFrame, method: str = "median", width: int = 1280, height: int = 720) -> DataFrame:
-    """recording_id, n_bins, span and the method's box."""
+    """recording_id, n_bins, span, n_routed and the method's box."""
     if method not in fixed.METHODS:
         raise ValueError(f"unknown method {method!r}")
+    if method in ("occupancy", "cluster"):
+        return kernel_boxes(evidence, method, width, height).select("recording_id", "n_bins", "span", "n_routed", "box")
     facts = [F.count(F.lit(1)).alias("n_bins"), F.max("span").alias("span"), F.max("n_routed").alias("n_routed")]
-    if method in ("median", "quantile"):
-        return evidence.groupBy("recording_id").agg(*facts, (median_box() if method == "median" else quantile_box()).alias("box"))
-    counted = evidence.groupBy("recording_id").agg(*facts)
-    return counted.join(kernel_boxes(evidence, method, width, height).select("recording_id", "box"), "recording_id")
+    return evidence.groupBy("recording_id").agg(*facts, (median_box() if method == "median" else quantile_box()).alias("box"))
 
 
 def geometry(

@@ -58,7 +58,7 @@ def session_box_occupancy(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def cluster_box(spark: SparkSession, sf: str) -> DataFrame:
     bins = evidence.bins(tables.observations(spark, sf, fixed_boxes=True))
-    return flat(evidence.kernel_boxes(bins, "cluster", W, H), "box")
+    return flat(evidence.kernel_boxes(bins, "cluster", W, H).select("recording_id", "box", "diagnostic"), "box")
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (local runs) a folder of the
-    driver's machine takes its place.
+    Only in a local run that leaves ``spark.checkpoint.dir`` unset a folder of the
+    machine takes its place; on a cluster the setting is required.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         path = f"file://{os.path.join(tempfile.gettempdir(), 'scopeline-checkpoints')}"
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -53,3 +57,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by Spark's own file system, wherever it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

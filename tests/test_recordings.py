@@ -9,6 +9,7 @@ from scopeline.functions import boxes, fixed
 from scopeline.operators import cadence, kernels, masks, session, stability
 from scopeline.operators.session import Monitor, attempted
 from scopeline.plans.pipelines import analyze_recordings
+from scopeline.session import shared_dir
 from scopeline.sources import sinks, tables
 
 SIDE = 24
@@ -211,3 +212,14 @@ def test_overlays_colour_what_the_mask_marks(spark):
 
 def test_boxes_of_another_resolution_are_refused():
     assert kernels.box_reason(A, 1280, 720, (1280, 720)) == fixed.VALID and kernels.box_reason(A, 1280, 720, (640, 360)) == fixed.MISMATCH
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
