@@ -13,6 +13,9 @@ MIN_SPLIT_IOU, MIN_AREA_RATIO, SPLIT_SEED, RANDOM_SPLITS = 0.95, 0.97, 20260809,
 COMPETING_MARGIN = 0.10
 DRIFT_IOU, DRIFT_PATIENCE, DRIFT_COUNT, TTL_FACTOR = 0.50, 1.0, 2, 1.5
 EVIDENCE_BINS, EVIDENCE_ROWS, DRIFT_RING, ID_RING = 60, 4000, 30, 64
+#: The model file: its digest, classes, channels of the first level, and the bytes of a network that may be broadcast.
+MODEL_SHA256 = "df4054b8d2a22413ae232b7ea2ce01cbe70c838031167b5afb72c71ce9670713"
+MODEL_CLASSES, MODEL_BASE, MODEL_BYTES = 4, 8, 64 << 20
 METHODS = ("median", "quantile", "occupancy", "cluster")
 
 #: Reason codes.

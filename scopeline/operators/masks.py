@@ -134,10 +134,10 @@ def warm(b: Column, g: Column, r: Column) -> Column:
     return ((half <= 30) | (half >= 165)) & (full >= 35) & (top >= 25)
 
 
-def routing(pixels: DataFrame, candidates: DataFrame, width: int, height: int, min_support: float = fixed.MIN_SUPPORT) -> DataFrame:
+def routing(pixels: DataFrame, candidates: DataFrame, width: int | Column, height: int | Column, min_support: float = fixed.MIN_SUPPORT) -> DataFrame:
     """Whether each frame's candidate box shows picture content: enough tissue inside it, or enough warm colour.
 
-    ``candidates`` has a row a frame (box null: no candidate). Only frames with a
+    ``candidates`` has a row a frame (box null: no candidate); width and height may be columns of it. Only frames with a
     box that reaches into the frame meet their pixels, by an equi join on the
     frame; the box test is a condition inside the aggregate.
     """
@@ -273,3 +273,25 @@ def packed(pixels: DataFrame, width: int, height: int) -> DataFrame:
     rows = pixels.groupBy(*FRAME).agg(F.array_sort(F.collect_list(at)).alias("p"))
     colour = F.unhex(F.concat_ws("", F.transform("p", lambda q: F.concat(q["b"], q["g"], q["r"]))))
     return rows.select(*FRAME, F.lit(width).alias("width"), F.lit(height).alias("height"), colour.alias("pixels"), F.unhex(F.concat_ws("", F.transform("p", lambda q: q["cls"]))).alias("labels"))
+
+
+def unpacked(frames: DataFrame) -> DataFrame:
+    """Frames of any sizes (width, height, pixels, labels) as pixel rows, the inverse of ``packed``; no shuffle.
+
+    Gray is 0.299 R + 0.587 G + 0.114 B, rounded.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                w, n = row["width"], row["width"] * row["height"]
+                colour = np.frombuffer(row["pixels"], np.uint8).reshape(n, 3)
+                gray = np.rint(colour @ np.array([0.114, 0.587, 0.299]))
+                # a slice of rows at a time, so that a batch is bounded whatever the frame's size
+                for a in range(0, n, 1 << 16):
+                    at = np.arange(a, min(a + (1 << 16), n))
+                    values = (at // w, at % w, np.frombuffer(row["labels"], np.uint8)[at], gray[at], *colour[at].T)
+                    own = [pa.array(np.full(len(at), row[c]), pa.int64()) for c in FRAME]
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(v.astype(np.int32)) for v in values)], [*FRAME, "y", "x", "cls", "gray", "b", "g", "r"])
+
+    return frames.selectExpr(*_LONG, "width", "height", "pixels", "labels").mapInArrow(run, "recording_id long, frame_index long, y int, x int, cls int, gray int, b int, g int, r int")

@@ -19,6 +19,15 @@ def analyze_frames(pixels: DataFrame, width: int, height: int, min_area: int = f
     return masks.histogram(pixels).join(found, ["recording_id", "frame_index"]).join(routed, ["recording_id", "frame_index"])
 
 
+def analyze_images(frames: DataFrame, min_area: int = fixed.MIN_COMPONENT, min_rim: int = fixed.MIN_RIM) -> DataFrame:
+    """As ``analyze_frames``, from binary frames of any sizes (width, height, pixels, labels)."""
+    pixels = masks.unpacked(frames)
+    size = frames.selectExpr("cast(recording_id as long) recording_id", "cast(frame_index as long) frame_index", "width", "height")
+    found = masks.popup_boxes(frames, min_area, min_rim).select("recording_id", "frame_index", "box").join(size, list(masks.FRAME))
+    routed = masks.routing(pixels, found, F.col("width"), F.col("height"))
+    return masks.histogram(pixels).join(found, list(masks.FRAME)).join(routed, list(masks.FRAME))
+
+
 def observed(frames: DataFrame, fps: float | Column, *keep: str) -> DataFrame:
     """Observations of analysed frames: the box of a routed frame, else none; time is the frame's number over the rate."""
     return frames.select(

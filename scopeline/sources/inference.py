@@ -1,7 +1,7 @@
 """Frames to masks around any network: letterboxing in, probabilities out, both in numpy.
 
-The network is a callable from a batch (n, 3, height, width) to class scores
-(n, classes, height, width); none comes with this package.
+The network is any callable from a batch (n, 3, height, width) to class scores
+(n, classes, height, width), such as ``network.UNet``.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,28 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", "length", "content", F.sha2("content", 256).alias("sha256"))
 
 
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """Image files as frames: path, recording_id, frame_index, width, height, pixels as B, G, R bytes, and reason.
+
+    Each file is a recording of one frame, numbered by the hash of its path. Gray
+    pictures get three equal channels, transparency is left out. A file that is
+    no readable picture has the reason ``unreadable`` and no pixels.
+    """
+    read = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, data in zip(batch.column("nChannels").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                grid = np.frombuffer(data or b"", np.uint8).reshape(-1, n if n and n > 0 else 1)
+                out.append(np.ascontiguousarray(grid[:, :3] if n in (3, 4) else grid.repeat(3, axis=1)).tobytes() if len(grid) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["path", "width", "height", "pixels"])
+
+    found = read.select(F.col("origin").alias("path"), "width", "height", "nChannels", "data").mapInArrow(run, "path string, width int, height int, pixels binary")
+    reason = F.when(F.col("pixels").isNull(), "unreadable").otherwise("ok")
+    return found.select("path", F.xxhash64("path").alias("recording_id"), F.lit(0).cast("long").alias("frame_index"), "width", "height", "pixels", reason.alias("reason"))
+
+
 class ModelFileError(RuntimeError):
     """A model file that is missing or not the expected one."""
 
@@ -36,7 +59,7 @@ def checked_model(spark: SparkSession, path: str, sha256: str) -> bytes:
 def checked_network(found: dict, classes: int, base_channels: int, tensors: int, is_tensor: Callable[[object], bool]) -> dict:
     """The settings inside a loaded model file (``model_state`` and ``config``), once all of it is as expected.
 
-    Reading the file into a mapping is the caller's network library's work.
+    ``network.read`` makes a mapping of a file.
     """
     lacking = [k for k in ("model_state", "config") if k not in found]
     if lacking:
