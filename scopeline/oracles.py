@@ -60,6 +60,33 @@ _MEDIAN = _rounded(*(f"median({s})" for s in ("x1", "y1", "x2", "y2")))
 _QUANTILE = _rounded(*(f"quantile_cont({s}::DOUBLE, {q})" for s, q in (("x1", 0.1), ("y1", 0.1), ("x2", 0.9), ("y2", 0.9))))
 
 
+def _occupied(rows: str, keys: str) -> str:
+    """Tables of the counts (occ_n) and the occupancy boxes (occ) of each group of ``rows``."""
+    return f"""occ_n AS (SELECT {keys}, count(*) AS n FROM {rows} GROUP BY ALL),
+occ_x AS (SELECT *, lead(x) OVER (PARTITION BY {keys} ORDER BY x) AS xe FROM (SELECT DISTINCT {keys}, unnest([x1, x2]) AS x FROM {rows})),
+occ_y AS (SELECT *, lead(y) OVER (PARTITION BY {keys} ORDER BY y) AS ye FROM (SELECT DISTINCT {keys}, unnest([y1, y2]) AS y FROM {rows})),
+occ_c AS (SELECT {keys}, x, xe, y, ye, count(*) AS k FROM occ_x JOIN occ_y USING ({keys}) JOIN {rows} USING ({keys})
+          WHERE x1 <= x AND xe <= x2 AND y1 <= y AND ye <= y2 GROUP BY ALL),
+occ AS (SELECT {keys}, n, min(x) AS x1, min(y) AS y1, max(xe) AS x2, max(ye) AS y2 FROM occ_c JOIN occ_n USING ({keys}) WHERE k >= ceil(0.5 * n) GROUP BY {keys}, n)"""
+
+
+def clusters(x1: str = "x1", y1: str = "y1") -> str:
+    """Complete-linkage clusters of the bins' boxes: each round merges every recording's closest pair of clusters."""
+    return f"""{_OBS},
+f AS (SELECT recording_id, x1, y1, x1 + 200 AS x2, y1 + 150 AS y2, row_number() OVER (PARTITION BY recording_id ORDER BY bin) AS pos, count(*) OVER (PARTITION BY recording_id) AS n_bins
+      FROM (SELECT recording_id, bin, {x1} AS x1, {y1} AS y1 FROM b)),
+d AS MATERIALIZED (SELECT l.recording_id, l.pos AS pa, r.pos AS pb, sqrt((((l.x1 + l.x2) - (r.x1 + r.x2)) / 2.0::DOUBLE / 1280) ** 2 + (((l.y1 + l.y2) - (r.y1 + r.y2)) / 2.0::DOUBLE / 720) ** 2) AS far
+      FROM f l JOIN f r USING (recording_id)),
+g AS (SELECT 0 AS step, recording_id, pos, pos AS grp FROM f
+      UNION ALL
+      SELECT g.step + 1, g.recording_id, g.pos, CASE WHEN g.grp = m.merge.b THEN m.merge.a ELSE g.grp END
+      FROM g JOIN (SELECT recording_id, min({{'far': far, 'a': a, 'b': b}}) AS merge
+                   FROM (SELECT l.recording_id, l.grp AS a, r.grp AS b, max(far) AS far FROM g l JOIN g r USING (recording_id) JOIN d ON d.recording_id = l.recording_id AND d.pa = l.pos AND d.pb = r.pos
+                         WHERE l.grp < r.grp GROUP BY ALL)
+                   WHERE far <= {fixed.TAU}::DOUBLE GROUP BY recording_id) m ON g.recording_id = m.recording_id),
+done AS (SELECT * FROM g QUALIFY step = max(step) OVER (PARTITION BY recording_id))"""
+
+
 def _split_values() -> str:
     from .operators.stability import split_rows
 
@@ -150,6 +177,21 @@ SELECT recording_id, frame_index, kind = 1 AND greatest(tissue, warm) >= 0.3 AS
         "monitor_counters": "SELECT user_id AS recording_id, count(*) AS n_monitored, count_if(event_type <> 'error') AS n_routed, 0::BIGINT AS n_rejected FROM events GROUP BY user_id",
         "session_disabled": f"SELECT DISTINCT user_id AS recording_id, 0::BIGINT AS n_monitored, '{fixed.DISABLED}' AS reason FROM events",
     }
+    moved = clusters("(100 + floor(t / 10)::INT * 300 + recording_id % 50)::INT", "(60 + floor(t / 10)::INT * 100)::INT")
+    for name, grouped in (("cluster_box", moved), ("session_box_cluster", clusters())):
+        sql[name] = f"""WITH RECURSIVE {grouped},
+k AS (SELECT recording_id, grp, count(*) / any_value(n_bins) AS part, {_MEDIAN} FROM done JOIN f USING (recording_id, pos) GROUP BY recording_id, grp),
+r AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY part DESC, grp) AS nth, lead(part) OVER (PARTITION BY recording_id ORDER BY part DESC, grp) AS second FROM k)
+SELECT recording_id, CASE WHEN part < {fixed.DOMINANCE} AND part - second < {fixed.COMPETING_MARGIN} THEN '{fixed.COMPETING}' ELSE '' END AS diagnostic,
+       {", ".join(f"CASE WHEN part >= {fixed.DOMINANCE} THEN {c} END AS {c}" for c in ("x1", "y1", "x2", "y2"))} FROM r WHERE nth = 1"""
+    halves = f"h AS (SELECT recording_id, z.n_bins, split, half, count(*) AS n, {_MEDIAN} FROM z JOIN fam USING (n_bins, pos) GROUP BY ALL),"
+    placed = "halved AS (SELECT recording_id, n_bins, split, half, x1, y1, x2, y2 FROM z JOIN fam USING (n_bins, pos)),"
+    every = "h AS (SELECT recording_id, n_bins, split, half, occ.n, x1, y1, x2, y2 FROM occ_n LEFT JOIN occ USING (recording_id, n_bins, split, half)),"
+    by_occupancy = f"{placed} {_occupied('halved', 'recording_id, n_bins, split, half')}, {every}"
+    sql["split_half_occupancy"] = sql["split_half_stability"].replace(halves, by_occupancy)
+    grouped = f"SELECT recording_id, segment, count(*) AS n, {_MEDIAN} FROM g WHERE segment IS NOT NULL GROUP BY recording_id, segment"
+    named = f", sg AS (SELECT * FROM g WHERE segment IS NOT NULL), {_occupied('sg', 'recording_id, segment')}"
+    sql["temporal_segments_occupancy"] = sql["temporal_segments"].replace(grouped, "") + f"{named} SELECT recording_id, segment, occ_n.n, x1, y1, x2, y2 FROM occ_n LEFT JOIN occ USING (recording_id, segment)"
     sql["split_half_quantile"] = sql["split_half_stability"].replace(_MEDIAN, _QUANTILE)
     sql["temporal_segments_quantile"] = sql["temporal_segments"].replace(_MEDIAN, _QUANTILE)
     sql["validate_box_resolution"] = f"""WITH {_PAIRS} SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 7 > 0 THEN '{fixed.MISMATCH}'

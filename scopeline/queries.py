@@ -61,6 +61,11 @@ def cluster_box(spark: SparkSession, sf: str) -> DataFrame:
     return flat(evidence.kernel_boxes(bins, "cluster", W, H).select("recording_id", "box", "diagnostic"), "box")
 
 
+@query
+def session_box_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    return flat(evidence.kernel_boxes(_bins(spark, sf), "cluster", W, H).select("recording_id", "box", "diagnostic"), "box")
+
+
 @query
 def session_geometry_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return flat(evidence.geometry(tables.observations(spark, sf)), "box")

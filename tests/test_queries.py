@@ -1,10 +1,14 @@
 import subprocess
 import sys
 
+import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as registered
-from scopeline import registry
+from scopeline import oracles, registry
+from scopeline.functions import fixed
+from scopeline.operators import kernels
 
 from .oracle import compare
 
@@ -22,6 +26,22 @@ def test_query_without_sql_has_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+def test_clusters_of_close_boxes_equal_their_sql():
+    con = duckdb.connect()
+    con.sql("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
+    grouped = oracles.clusters("(100 + hash(event_id) % 400)::INT", "(60 + hash(event_id + 1) % 100)::INT")
+    held = {}
+    for key, *row in con.sql(f"WITH RECURSIVE {grouped} SELECT recording_id, grp, x1, y1, x2, y2 FROM done JOIN f USING (recording_id, pos) ORDER BY recording_id, pos").fetchall():
+        held.setdefault(key, []).append(row)
+    many = set()
+    for rows in held.values():
+        centre = np.array([((x1 + x2) / 2 / 1280, (y1 + y2) / 2 / 720) for _, x1, y1, x2, y2 in rows])
+        mine = {tuple(g) for g in map(sorted, kernels.linked(centre, fixed.TAU))}
+        assert mine == {tuple(i for i, r in enumerate(rows) if r[0] == g) for g in {r[0] for r in rows}}
+        many.add(len(mine))
+    assert len(held) > 100 and max(many) > 4
+
+
 def test_entry(spark):
     assert registered.entry(spark).count() > 0
 
