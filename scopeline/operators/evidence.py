@@ -39,7 +39,36 @@ def quantile_box(low: float = fixed.QUANTILES[0], high: float = fixed.QUANTILES[
     """An envelope: the low quantile for near edges, the high one for far edges."""
     if not 0.0 <= low < high <= 1.0:
         raise ValueError("quantiles must satisfy 0 <= low < high <= 1")
-    return boxes.rounded(*(F.percentile(F.col("box")[s], F.lit(q)) for s, q in zip(boxes.SIDES, (low, low, high, high), strict=True)))
+    return boxes.rounded(*(quantile(F.col("box")[s], q) for s, q in zip(boxes.SIDES, (low, low, high, high), strict=True)))
+
+
+def quantile(values: Column, q: float) -> Column:
+    """The interpolated quantile of integers as DuckDB's quantile_cont has it: below * (1 - part) + (above * part), the first product not rounded.
+
+    ``percentile`` rounds both products, which at a half moves a rounded side by a pixel. It lies between
+    the values at the two ranks, so these are its neighbours among the distinct values; a group holds no more than those.
+    """
+    found, distinct = F.percentile(values, F.lit(q)), F.collect_set(values)
+    below, above = F.array_max(F.filter(distinct, lambda v: v <= found)).cast("double"), F.array_min(F.filter(distinct, lambda v: v >= found)).cast("double")
+    rank = (F.count(values) - 1) * F.lit(q)
+    part = rank - F.floor(rank)
+    return _fused(below, 1 - part, above * part)
+
+
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once: the errors of the product (Dekker) and of the sum (Knuth) are exact doubles, and are added last."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        wide = x * 134217729.0
+        high = wide - (wide - x)
+        return high, x - high
+
+    (a1, a2), (b1, b2) = halves(a), halves(b)
+    product = a * b
+    lost = a2 * b2 - (((product - a1 * b1) - a2 * b1) - a1 * b2)
+    total = product + c
+    came = total - product
+    return total + (((product - (total - came)) + (c - came)) + lost)
 
 
 def kernel_boxes(evidence: DataFrame, method: str, width: int, height: int) -> DataFrame:

@@ -10,7 +10,7 @@ from scopeline import oracles, registry
 from scopeline.functions import fixed
 from scopeline.operators import kernels
 
-from .oracle import compare
+from .oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
 ROWS_ONLY = sorted(set(registry.QUERIES) - set(registry.ORACLES))
@@ -26,6 +26,22 @@ def test_query_without_sql_has_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+def near_edges(folder, offsets: list[int]) -> str:
+    """Tables like ``SF``'s, whose one recording has a bin a day and the boxes' left edges at 100 and these offsets."""
+    for name in set(TABLES) - {"events"}:
+        (folder / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    days = ", ".join(f"({k}, {v})" for k, v in enumerate(offsets))
+    one = f"SELECT k::BIGINT AS event_id, TIMESTAMP '2024-01-01' + to_days(k) AS ts, 1::BIGINT AS user_id, 'view' AS event_type, v::DOUBLE AS value, '' AS props FROM (VALUES {days}) d(k, v)"
+    duckdb.sql(f"COPY ({one}) TO '{folder}/events.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def test_a_quantile_at_a_half_rounds_as_in_sql(spark, tmp_path):
+    sf = near_edges(tmp_path, [0] * 17 + [24, 29, 39])  # 0.9 of 19 steps: x2 is 324 and a tenth of 5
+    compare(spark, registry.QUERIES["session_box_quantile"], registry.ORACLES["session_box_quantile"], sf)
+    assert [r.x2 for r in registry.QUERIES["session_box_quantile"](spark, sf).collect()] == [324]
+
+
 def test_clusters_of_close_boxes_equal_their_sql():
     con = duckdb.connect()
     con.sql("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
