@@ -42,6 +42,12 @@ def test_a_quantile_at_a_half_rounds_as_in_sql(spark, tmp_path):
     assert [r.x2 for r in registry.QUERIES["session_box_quantile"](spark, sf).collect()] == [324]
 
 
+def test_a_quantile_of_a_segment_at_a_half_rounds_as_in_sql(spark, tmp_path):
+    sf = near_edges(tmp_path, [0] * 16 + [5, 10] + [39] * 6)  # 0.1 of 7 steps: the last third's x1 is 105 and 0.7 of 5
+    compare(spark, registry.QUERIES["temporal_segments_quantile"], registry.ORACLES["temporal_segments_quantile"], sf)
+    assert {r.segment: r.n for r in registry.QUERIES["temporal_segments_quantile"](spark, sf).collect()}["last_third"] == 8
+
+
 def test_clusters_of_close_boxes_equal_their_sql():
     con = duckdb.connect()
     con.sql("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
