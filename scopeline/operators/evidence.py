@@ -26,8 +26,8 @@ def bins(observations: DataFrame, bin_sec: float = fixed.BIN_SEC) -> DataFrame:
 
 
 def positions(evidence: DataFrame) -> DataFrame:
-    """``evidence`` with each bin's position and the recording's bin count."""
-    order = Window.partitionBy("recording_id").orderBy("bin")
+    """``evidence`` with each bin's position, that of observations without a time last, and the recording's bin count."""
+    order = Window.partitionBy("recording_id").orderBy(F.col("bin").asc_nulls_last())
     return evidence.withColumn("pos", F.row_number().over(order) - 1).withColumn("n_bins", F.count(F.lit(1)).over(Window.partitionBy("recording_id")))
 
 

@@ -48,6 +48,15 @@ def test_a_quantile_of_a_segment_at_a_half_rounds_as_in_sql(spark, tmp_path):
     assert {r.segment: r.n for r in registry.QUERIES["temporal_segments_quantile"](spark, sf).collect()}["last_third"] == 8
 
 
+@pytest.mark.parametrize("name", ["temporal_segments", "temporal_segments_quantile", "temporal_segments_occupancy"])
+def test_an_observation_without_a_time_is_in_the_last_segment_as_in_sql(spark, tmp_path, name):
+    sf = near_edges(tmp_path, [39] + [0] * 7)
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE timed AS SELECT * REPLACE (CASE WHEN event_id > 0 THEN ts END AS ts) FROM '{sf}/events.parquet'")
+    con.sql(f"COPY timed TO '{sf}/events.parquet' (FORMAT parquet)")
+    compare(spark, registry.QUERIES[name], registry.ORACLES[name], sf)
+
+
 def test_clusters_of_close_boxes_equal_their_sql():
     con = duckdb.connect()
     con.sql("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
